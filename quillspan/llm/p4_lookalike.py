@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import cut_lineage, table
 
 # Letters of other scripts that look like a Latin letter.
 LOOK_ALIKES = {
@@ -165,9 +165,7 @@ def canonical_pieces(pieces: DataFrame, keys: list[str]) -> DataFrame:
     )
     clusters = cps.groupBy(*keys, "pos").agg(ordered.alias("cps")).select(*keys, "pos", composed.alias("form"))
     whole = mapped.where(~marked).select(*keys, "pos", "form").unionByName(clusters)
-    text = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("pos", "form"))), lambda x: x["form"]))
-    # Blanks of any kind and number between words read as one; none at the ends is seen.
-    return whole.groupBy(*keys).agg(text.alias("canon")).withColumn("canon", F.trim(F.regexp_replace("canon", " +", " ")))
+    return rebuilt(whole, keys)
 
 
 def canonicalise(texts: DataFrame, keys: list[str], text: str = "normalized_text") -> DataFrame:
@@ -179,9 +177,23 @@ def canonicalise(texts: DataFrame, keys: list[str], text: str = "normalized_text
     affected, piece = patterns()
     t = texts.select(*keys, F.col(text).alias("_t"))
     hit = F.coalesce(F.col("_t").rlike(affected), F.lit(False))
-    plain = t.where(~hit).select(*keys, F.trim(F.regexp_replace("_t", " +", " ")).alias("canon"))
-    pieces = t.where(hit).select(*keys, F.posexplode(F.regexp_extract_all("_t", F.lit(piece), 0)).alias("pos", "piece"))
-    return plain.unionByName(canonical_pieces(pieces, keys))
+    marks = F.coalesce(F.col("_t").rlike(r"\p{M}"), F.lit(False))
+    plain = t.where(~hit).select(*keys, squeezed(F.col("_t")).alias("canon"))
+    explode = lambda df: df.select(*keys, F.posexplode(F.regexp_extract_all("_t", F.lit(piece), 0)).alias("pos", "piece"))
+    # Texts without combining marks need no ordering and no composition: one explode, one join, one rebuild.
+    single = F.broadcast(_maps(texts.sparkSession)[0])
+    simple = explode(t.where(hit & ~marks)).join(single, "piece", "left").select(*keys, "pos", F.coalesce("to_piece", "piece").alias("form"))
+    return plain.unionByName(rebuilt(simple, keys)).unionByName(canonical_pieces(explode(t.where(marks)), keys))
+
+
+def squeezed(c):
+    """Blanks of any kind and number between words read as one; none at the ends is seen."""
+    return F.trim(F.regexp_replace(c, " +", " "))
+
+
+def rebuilt(parts: DataFrame, keys: list[str]) -> DataFrame:
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "form"))), lambda x: x["form"]), "")
+    return parts.groupBy(*keys).agg(text.alias("canon")).withColumn("canon", squeezed(F.col("canon")))
 
 
 def canonical_reference(text: str) -> str:
@@ -220,8 +232,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = [*chapter, "document_id", "segment_id"]
     s = s.groupBy(*keys).agg(F.min("normalized_text").alias("normalized_text"))
     form = canonicalise(s.withColumn("_h", F.xxhash64("normalized_text")), [*keys, "_h"]).where("canon <> ''")
+    # Forms are compared by two independent hashes of 64 bits; what is written and read again is a few columns a segment.
+    form = cut_lineage(form.select(*keys, "_h", F.xxhash64("canon").alias("f1"), F.xxhash64(F.lit(1), "canon", F.length("canon")).alias("f2")))
     # Only forms spelled in two ways in two documents can pair.
-    group = [*chapter, "canon"]
+    group = [*chapter, "f1", "f2"]
     mixed = form.groupBy(*group).agg((F.min("_h") < F.max("_h")).alias("a"), (F.min("document_id") < F.max("document_id")).alias("b")).where("a and b").select(*group)
     form = form.join(mixed, group, "left_semi")
     x = form.select(*group, F.col("document_id").alias("da"), F.col("segment_id").alias("segment_id_a"), F.col("_h").alias("ha"))
