@@ -267,13 +267,6 @@ def minhash_bands(texts: list[str], bands: int = 12, rows: int = 3, n: int = SHI
 
 # ------------------------------------------------------------ column helpers
 
-#: Code points outside these ranges may change under NFKC or case folding in
-#: ways that Java's lower-casing does not reproduce; such texts go through Python.
-PLAIN_CHARS = r"\x00-\x7e\x{3001}-\x{3011}\x{2010}\x{2012}-\x{2016}\x{2018}-\x{2022}\x{2190}-\x{2199}\x{25a0}-\x{25ff}\x{2605}\x{2606}\x{ff0c}\x{ff1a}\x{ff1b}\x{ff01}\x{ff1f}\x{ff08}\x{ff09}\x{ff5e}\x{ff5c}\x{ff0a}\x{2026}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{20000}-\x{2a6df}\x{1f300}-\x{1faff}"
-#: The Latin letters of Western Europe that NFKC leaves alone and lower() folds as casefold() does.
-PLAIN_LATIN = r"\x{a0}-\x{a7}\x{a9}\x{ab}-\x{ae}\x{b0}\x{b1}\x{b6}\x{b7}\x{bb}\x{bf}-\x{de}\x{e0}-\x{131}\x{134}-\x{13e}\x{141}-\x{148}\x{14a}-\x{17e}"
-
-
 def latest(df: DataFrame, key: str, *payload: str) -> DataFrame:
     """One row per key: repeated rows count once. Ties resolve to the smallest payload."""
     return df.groupBy(key).agg(F.min(F.struct(*payload)).alias("_p")).select(key, "_p.*")
