@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,91 +25,122 @@ from pyspark.sql import functions as F
 from .common import fan_out, table
 
 #: Bound on the labelled documents that the network is fitted on.
-LABEL_DOCS = 3000
+LABEL_DOCS = 2000
 WORDS, GRAMS = 1 << 14, 1 << 12
 DIM, HID, ATT = 16, 12, 8
 WINDOW, STEP = 24, 8
 #: Tokens of a chunk in training and in scoring; chunks overlap so that every window lies whole in one.
-TRAIN_CHUNK, CHUNK = 48, 96
-EPOCHS = 12
+TRAIN_CHUNK, CHUNK = 48, 160
+EPOCHS = 10
 #: Words of fewer documents have no embedding of their own; share of tokens left out at random; weight decay; epochs before labels are doubted.
-RARE, DROP, DECAY, TRUST_AFTER = 3, 0.12, 2e-3, 4
-THRESHOLD = 0.3
+RARE, DROP, DECAY, TRUST_AFTER = 3, 0.2, 2e-3, 3
+#: Logits below and above which a positive and a negative document are then taken for errors of their annotators.
+DOUBT = (-0.5, 1.0)
+THRESHOLD = 0.5
 
 _TOKEN = re.compile(r"[⺀-鿿\U00020000-\U0003ffff]|[^\W_⺀-鿿]+(?:[*@$!|'’]+[^\W_⺀-鿿]+)*")
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_⺀-鿿][ .\-_*]){3,}[^\W\d_⺀-鿿](?![^\W_])")
-_DOTTED = re.compile(r"(?<=[^\W\d_⺀-鿿])[.\-_](?=[^\W\d_⺀-鿿](?:[.\-_]|(?![^\W_])))")
-_SPLIT_HAN = re.compile(r"(?<=[㐀-鿿])[ .*·\-_~+^|](?=[㐀-鿿])")
 _RUN = re.compile(r"([^\W\d_⺀-鿿])\1{2,}")
-_LEET = str.maketrans("013457$@!|", "oieastsail"[:10])
+_FORMAT = re.compile("[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff]+")
+# Digits and signs that stand for letters.
+_LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"})
 
 
 def normalised(text: str) -> str:
-    """One spelling for disguises: compatibility forms, invisible characters, spaced or dotted letters, drawn-out letters."""
-    t = unicodedata.normalize("NFKC", text).casefold()
-    if not t.isascii():
-        t = "".join(c for c in t if unicodedata.category(c) != "Cf") if _FORMAT.search(t) else t
-        t = _SPLIT_HAN.sub("", t)
-    t = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m.group(0)), t)
-    return _RUN.sub(r"\1", t)
-
-
-_FORMAT = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁯﻿]")
-
-
-def tokens(text: str) -> list[str]:
-    """Words and ideographs of a text; an ideograph carries the one before it, so that pairs are words too."""
-    raw = _TOKEN.findall(normalised(text))
-    out, before = [], ""
-    for w in raw:
-        if "⺀" <= w[0] and len(w) == 1:
-            out.append(before + w)
-            before = w
-        else:
-            if not w.isalpha() and not w.isdigit():
-                w = w.translate(_LEET)
-            out.append("0" if w.isdigit() else w)
-            before = ""
+    """Compatibility form without letter case and invisible characters."""
+    if text.isascii():
+        return text.lower()
+    return _FORMAT.sub("", unicodedata.normalize("NFKC", text).casefold())
+
+
+def canonical(token: str) -> str:
+    """One spelling for a word: numbers alike, letters for the signs that stand for them, drawn-out letters once."""
+    if token.isdigit():
+        return "0"
+    if not token.isalpha():
+        token = token.translate(_LEET)
+    return _RUN.sub(r"\1", token)
+
+
+def words_of(text: str) -> list[str]:
+    """Words and ideographs of a text; marks between them fall away, so that split spellings of ideographs join again."""
+    return _TOKEN.findall(normalised(text))
+
+
+def joined(words: list[str]) -> list[str]:
+    """Runs of four or more single letters as one word: letters that were set apart."""
+    out, run = [], []
+    for w in [*words, ""]:
+        if len(w) == 1 and w.isalpha() and w < "⺀":
+            run.append(w)
+            continue
+        out += ["".join(run)] if len(run) >= 4 else run
+        run = []
+        if w:
+            out.append(w)
     return out
 
 
-def _fnv(s: str) -> int:
-    h = 1469598103934665603
-    for b in s.encode("utf-8", "surrogatepass"):
-        h = (h ^ b) * 1099511628211 & 0xFFFFFFFFFFFFFFFF
-    return h ^ (h >> 31)
+def _hash(s: str) -> int:
+    return zlib.crc32(s.encode("utf-8", "surrogatepass"))
 
 
 def inputs_of(token: str) -> tuple[int, list[int]]:
     """(word bucket, character buckets) of a token: single ideographs, or three-letter pieces of a word."""
     if token[-1] >= "⺀":
-        chars = [_fnv("c" + token[-1]) % GRAMS]
+        chars = [_hash("c" + token[-1]) % GRAMS]
     else:
         w = f"<{token[:24]}>"
-        chars = [_fnv(w[i : i + 3]) % GRAMS for i in range(max(1, len(w) - 2))]
-    return _fnv("w" + token) % WORDS, chars
+        chars = [_hash(w[i : i + 3]) % GRAMS for i in range(max(1, len(w) - 2))]
+    return _hash("w" + token) % WORDS, chars
 
 
 class Vocabulary:
-    """Tokens met so far with their inputs; index 0 is padding."""
+    """Tokens met so far with their inputs; index 0 is padding. Spellings of one word share an index."""
 
     def __init__(self):
         self.index: dict[str, int] = {}
         self.word: list[int] = [0]
         self.grams: list[list[int]] = [[]]
-
-    def ids(self, toks: list[str]) -> np.ndarray:
-        get, out = self.index.get, np.empty(len(toks), np.int32)
-        for i, t in enumerate(toks):
-            k = get(t)
-            if k is None:
-                w, g = inputs_of(t)
-                k = self.index[t] = len(self.word)
-                self.word.append(w)
-                self.grams.append(g)
-            out[i] = k
+        self.letter: list[bool] = [False]
+        self._alone, self._filled = np.zeros(1024, bool), 0
+
+    def _add(self, token: str) -> int:
+        c = canonical(token)
+        k = self.index.get(c)
+        if k is None:
+            w, g = inputs_of(c)
+            k = self.index[c] = len(self.word)
+            self.word.append(w)
+            self.grams.append(g)
+            self.letter.append(len(c) == 1 and c.isalpha() and c < "⺀")
+        self.index[token] = k
+        return k
+
+    def ids(self, text: str) -> np.ndarray:
+        """Indexes of the tokens of a text; an ideograph carries the one before it, so that pairs are words too."""
+        out = self._ids(words_of(text))
+        if len(self._alone) < len(self.letter):
+            self._alone = np.zeros(2 * len(self.letter), bool)
+            self._filled = 0
+        self._alone[self._filled : len(self.letter)] = self.letter[self._filled :]
+        self._filled = len(self.letter)
+        alone = self._alone[out] if len(out) >= 4 else np.zeros(0, bool)
+        if len(alone) and (alone[:-3] & alone[1:-2] & alone[2:-1] & alone[3:]).any():
+            out = self._ids(joined(words_of(text)))
         return out
 
+    def _ids(self, words: list[str]) -> np.ndarray:
+        get, add, out, before = self.index.get, self._add, [], ""
+        for w in words:
+            if w >= "⺀" and len(w) == 1:
+                key = before + w
+                before = w
+            else:
+                key, before = w, ""
+            k = get(key)
+            out.append(add(key) if k is None else k)
+        return np.asarray(out, np.int32)
+
     def vectors(self, p: dict, lo: int = 0) -> np.ndarray:
         """Input vectors of the tokens from index ``lo`` on: word embedding plus the mean of the character embeddings."""
         lens = np.asarray([len(g) for g in self.grams[lo:]], np.int64)
@@ -285,7 +317,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
     touched are set to zero, so unknown words add nothing by chance.
     """
     vocab = Vocabulary()
-    docs = [vocab.ids(tokens(t)) for t in texts]
+    docs = [vocab.ids(t) for t in texts]
     p = init(seed)
     rng = np.random.default_rng(seed)
     hard = labels >= 0.5
@@ -334,7 +366,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
             if not len(c):
                 continue
             rank = c[np.argsort(-score[c], kind="stable")]
-            if epoch >= TRUST_AFTER and (hard[i] and score[rank[0]] < -2 or not hard[i] and score[rank[0]] > 2):
+            if epoch >= TRUST_AFTER and (hard[i] and score[rank[0]] < DOUBT[0] or not hard[i] and score[rank[0]] > DOUBT[1]):
                 continue
             take = rank[:1] if hard[i] else np.r_[rank[:2], rng.choice(c, 1)]
             pick += list(take)
@@ -374,7 +406,7 @@ class Scorer:
     def logits(self, texts: list[str]) -> np.ndarray:
         if len(self.vocab.word) > 400_000:
             self.__init__(self.p)
-        docs = [self.vocab.ids(tokens(t)) if t else np.zeros(0, np.int32) for t in texts]
+        docs = [self.vocab.ids(t) if t else np.zeros(0, np.int32) for t in texts]
         known = len(self.tf)
         if len(self.vocab.word) > known:
             x = self.vocab.vectors(self.p, known)
