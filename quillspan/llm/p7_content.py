@@ -13,6 +13,7 @@ all merging over hosts is aggregation in the JVM, salted by page for hot hosts.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -46,23 +47,17 @@ def content_key(text: str) -> tuple[int, int]:
     t = _NUMBER.sub("0", t)
     first = t[:1]
     t = first + _CAPITAL.sub("N", t[1:])
-    h = 1469598103934665603
-    for b in t.encode("utf-8", "surrogatepass"):
-        h = (h ^ b) * 1099511628211 & 0xFFFFFFFFFFFFFFFF
     words = sum(1 for w in re.findall(r"[一-鿿]|[^\W\d_]+", t) if w != "N")
-    return h - (1 << 64) if h >> 63 else h, words
+    return hash_text(t), words
 
 
 def _h(parts) -> int:
-    h = hash_text("\x1f".join(parts))
-    return h - (1 << 64) if h >> 63 else h
+    return hash_text("\x1f".join(parts))
 
 
 def hash_text(t: str) -> int:
-    h = 1469598103934665603
-    for b in t.encode("utf-8", "surrogatepass"):
-        h = (h ^ b) * 1099511628211 & 0xFFFFFFFFFFFFFFFF
-    return h
+    """Signed 64-bit hash of a text, the same on every executor."""
+    return int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def page_nodes(nos, parents, tags, classes, texts) -> list[tuple]:
