@@ -72,13 +72,11 @@ def split_points(text: str, max_chars: int, overlap: int, parts: list[int] = ())
     room = max_chars - overlap
     atoms = atoms_of(text, max(1, min(room, max(1, room // 2))), parts)
     # The first piece has nothing before it to overlap with, so it must itself
-    # be as long as the overlap.
+    # be as long as the overlap; atoms are short enough that it then still fits.
     k = 0
-    while k + 1 < len(atoms) and atoms[k][0] < min(overlap, room):
+    while k + 1 < len(atoms) and atoms[k][0] < overlap:
         k += 1
     atoms = atoms[k:]
-    if atoms[0][0] > room:
-        atoms.insert(0, (room, HARD))
     m = len(atoms)
     begin = [0] + [a[0] for a in atoms[:-1]]
     end = [a[0] for a in atoms]
