@@ -112,6 +112,7 @@ def decode_best(body: bytes | None, content_type: str | None) -> tuple[str, bool
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<head\b[^>]*>|<meta\b[^>]*>", re.I | re.S)
 _INLINE = re.compile(r"</?(?:a|abbr|b|big|cite|code|em|font|i|mark|q|ruby|rb|rt|rp|s|small|strong|sub|sup|tt|u|wbr)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[/!?a-zA-Z][^<>]*>")
+_CUT_TAG = re.compile(r"<(?:[/!?a-zA-Z][^<>]*)?\Z")
 _BLANKS = re.compile(r"[^\S\n]+")
 
 
@@ -142,7 +143,7 @@ def passages(text: str) -> list[str]:
     if is_markup(text):
         t = _HIDDEN.sub("\n", text)
         t = _INLINE.sub("", t)
-        t = _TAG.sub("\n", t)
+        t = _CUT_TAG.sub("", _TAG.sub("\n", t))
         lines = html.unescape(t).split("\n")
     else:
         head = text.lstrip("﻿ \t\r\n")[:1]
