@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("texts", "spans", "records", "scores", "streams")
+MODULES = ("texts", "spans", "records", "scores", "extracts", "streams")
 
 
 def queries() -> dict:
