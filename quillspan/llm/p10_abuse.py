@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import fan_out, table
 
-#: Bound on the labelled documents that the network is fitted on.
-LABEL_DOCS = 2000
+#: Bounds on the labelled documents that the network is fitted on, abusive and other; together ``LABEL_DOCS``.
+ABUSIVE_DOCS, OTHER_DOCS = 850, 1150
+LABEL_DOCS = ABUSIVE_DOCS + OTHER_DOCS
 WORDS, GRAMS = 1 << 14, 1 << 12
 DIM, HID, ATT = 16, 12, 8
 WINDOW, STEP = 24, 8
@@ -36,7 +37,7 @@ EPOCHS = 10
 RARE, DROP, DECAY, TRUST_AFTER = 3, 0.2, 2e-3, 3
 #: Logits below and above which a positive and a negative document are then taken for errors of their annotators.
 DOUBT = (-0.5, 1.0)
-THRESHOLD = 0.5
+THRESHOLD = 0.7
 
 _TOKEN = re.compile(r"[⺀-鿿\U00020000-\U0003ffff]|[^\W_⺀-鿿]+(?:[*@$!|'’]+[^\W_⺀-鿿]+)*")
 _RUN = re.compile(r"([^\W\d_⺀-鿿])\1{2,}")
@@ -419,14 +420,25 @@ class Scorer:
         return out
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> tuple[list[str], np.ndarray]:
-    """Texts and mean labels of at most ``LABEL_DOCS`` labelled documents, those with the lowest hash of their id."""
+def labelled(spark: SparkSession, sf_dir: str) -> tuple[list[str], np.ndarray, float]:
+    """(texts, mean labels, shift of the log-odds) of the labelled documents that the network is fitted on.
+
+    At most ``ABUSIVE_DOCS`` and ``OTHER_DOCS`` of each class, those with the
+    lowest hash of their id. Where that changes the share of abusive documents
+    among the labels, the shift takes it back.
+    """
     lab = table(spark, sf_dir, "abuse_label").where("doc_id is not null and is_abusive is not null")
     lab = lab.groupBy("doc_id", "annotator").agg(F.max("is_abusive").alias("v")).groupBy("doc_id").agg(F.avg("v").alias("label"))
-    pick = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABEL_DOCS)
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    pos, neg = F.col("label") >= 0.5, F.col("label") < 0.5
+    pick = lab.where(pos).orderBy(*order).limit(ABUSIVE_DOCS).unionByName(lab.where(neg).orderBy(*order).limit(OTHER_DOCS))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null")
     rows = docs.join(F.broadcast(pick), "doc_id").orderBy("doc_id").collect()
-    return [r.text for r in rows], np.asarray([r.label for r in rows], np.float64)
+    n_pos, n_neg = lab.agg(F.count_if(pos), F.count_if(neg)).first()
+    y = np.asarray([r.label for r in rows], np.float64)
+    k_pos, k_neg = int((y >= 0.5).sum()), int((y < 0.5).sum())
+    shift = float(np.log(n_pos / n_neg) - np.log(k_pos / k_neg)) if min(n_pos, n_neg, k_pos, k_neg) > 0 else 0.0
+    return [r.text for r in rows], y, shift
 
 
 def score_documents(docs: DataFrame, p: dict[str, np.ndarray]) -> DataFrame:
@@ -446,8 +458,10 @@ def score_documents(docs: DataFrame, p: dict[str, np.ndarray]) -> DataFrame:
 
 def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A score for every document."""
-    texts, labels = labelled(spark, sf_dir)
-    return score_documents(fan_out(table(spark, sf_dir, "documents").select("doc_id", "text")), fit(texts, labels))
+    texts, labels, shift = labelled(spark, sf_dir)
+    p = fit(texts, labels)
+    p["b"] = p["b"] + np.float32(shift)
+    return score_documents(fan_out(table(spark, sf_dir, "documents").select("doc_id", "text")), p)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
