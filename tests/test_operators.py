@@ -35,6 +35,12 @@ def test_html(spark):
     got = [(r.selector, r.normalized_text) for r in parse.html_blocks(df, "k", "t").orderBy("ordinal").collect()]
     assert got == [("h1:nth-of-type(1)", "Head"), ("li:nth-of-type(1)", "One"), ("li:nth-of-type(2)", "Two"), ("div:nth-of-type(1)", "Box"), ("p:nth-of-type(1)", "Para")]
     assert df.select(parse.html_title(F.col("t"))).first()[0] == "Head"
+    t = spark.createDataFrame([(1, "<title>a &amp; <i>b</i></title>"), (2, "<h2>x</h2><title>y</title>"), (3, "none"), (4, None)], "i int, t string")
+    assert [r[0] for r in t.orderBy("i").select(parse.html_title(F.col("t"))).collect()] == ["a & b", "y", None, None]
+    r = spark.createDataFrame([('<p>menu</p><div id="bodyContent">x</div>',), ("<article>a</article><main>m</main>",), ("plain",)], "t string")
+    assert [x[0] for x in r.select(parse.html_root(F.col("t"))).collect()] == ['<div id="bodyContent">x</div>', "<main>m</main>", "plain"]
+    loose = spark.createDataFrame([("k", "<title>T</title>out<p>in</p><div class='sponsored'>no<br></div>tail<div>d</div>e")], "k string, t string")
+    assert [(x.selector, x.normalized_text) for x in parse.html_blocks(loose, "k", "t").orderBy("ordinal").collect()] == [("text-node:nth-of-type(1)", "out"), ("p:nth-of-type(1)", "in"), ("text-node:nth-of-type(3)", "tail"), ("div:nth-of-type(1)", "de")]
 
 
 def test_encodings():
