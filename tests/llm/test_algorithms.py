@@ -64,6 +64,16 @@ def test_early_end():
     assert not p1_cut.ends_early("", PROSE) and not p1_cut.ends_early(PROSE, "")
 
 
+def test_early_end_stops_inside_a_sentence():
+    words = " ".join(f"word{i}" for i in range(60))
+    assert p1_cut.ends_early(words + ' “Go!”', words + ' “Go!” said the miller.')
+    assert p1_cut.ends_early(words + " he le", words + " he left. So it ended.")
+    assert not p1_cut.ends_early(words + " he left.", words + " he left. So it ended.")
+    assert not p1_cut.ends_early(words + " he left", words + " he left\nRead on at our site")
+    assert not p1_cut.ends_early(words + " felt cold.", words + " felt very cold.")  # a word more inside the last sentence
+    assert p1_cut.distinct_runs(["a b c d e a b c d e", "", "一二三四五六"]).tolist() == [5, 0, 2]
+
+
 def test_endings():
     whole = "<html><body><p>一。</p></body></html>"
     assert p1_cut.ending(whole, False)[2] is False

@@ -175,6 +175,16 @@ def test_p1_copies(spark, tmp_path):
     assert got["b"].is_cut and got["b"].by_copy and not got["a"].is_cut and sum(r.is_cut for r in got.values()) == 1
 
 
+def test_p1_copies_behind_a_usual_mark(spark, tmp_path):
+    words = " ".join(f"word{i}" for i in range(60))
+    whole, cut = f"It began. {words} and “Go!” said he.", f"It began. {words} and “Go!”"
+    data = [(f"n{i}", "d", "w", 1, i, "p", f"Another text number {i} stands here alone. “It ends as it should!”", "h") for i in range(40)]
+    res = [(k, "S", f"https://a.example/{k}", 200, bytearray(t.encode()), "text/plain; charset=utf-8") for k, t in (("a", whole), ("b", cut))]
+    d = write(spark, tmp_path, segment=(SEGMENT, [*data, ("c", "d", "w", 1, 90, "p", cut, "h")]), response=(RESPONSE, res))
+    got = p1_cut.scored(spark, d).where("by_copy and is_cut").collect()
+    assert {(r.record_kind, r.record_id) for r in got} == {("response", "b"), ("segment", "c")}
+
+
 def test_p7_site(spark, tmp_path):
     nodes, res = [], []
     for i in range(12):
