@@ -4,6 +4,8 @@ Method: every candidate decoding of a passage (the bytes read with another
 codec, or the text written back and read again, up to two steps) is compressed
 with zstandard dictionaries of the corpus languages. The chain with the least
 description length, its own cost included, wins; otherwise the passage stays.
+Runs inside a passage that alone can be read otherwise are tried too, their
+saving measured against the run in its context.
 
 The dictionaries are trained on a bounded sample of labelled documents
 (``DICT_DOCS`` per language); all bodies are read whole, passage by passage.
@@ -139,6 +141,60 @@ def _write_back(text: str, codec: str) -> bytes | None:
 
 _NON_ASCII = re.compile(r"[^\x00-\x7f]+(?:[^\x00-\x7f]|[ -~](?=[^\x00-\x7f]))*")
 
+# Characters of more than one byte in UTF-8, each byte shown as the character of its number.
+_MULTIBYTE = re.compile("(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+")
+# What short repairs may bring back, so that two letters of a text do not pass for one of a script that it never holds.
+_PLAUSIBLE = re.compile("[\x00-\x7f\xa0-\xffŒœŠšŽžŸ\u200b-\u200f\u2010-\u2044\u20ac\u2122\ufeff\u3000-\u30ff\u3400-\u9fff\uff01-\uff5e]+")
+# Bytes that are no UTF-8 (as lone surrogates) with the short characters that such bytes form by chance.
+_BROKEN = re.compile("[\x80-\u07ff]*[\udc80-\udcff](?:[\x80-\u07ff\udc80-\udcff]|[@-~](?=[\udc80-\udcff]))*")
+
+
+@lru_cache(maxsize=8)
+def _as_bytes(codec: str) -> dict[int, str]:
+    """Translation of text to the characters of its bytes' numbers."""
+    if codec == "latin-1":
+        return {c: chr(c) for c in range(256)}
+    return {c: chr(b) for c, b in _sloppy_table(codec).items()}
+
+
+def runs_of(text: str, data: bytes | None, declared: str) -> list[tuple[str, str, str]]:
+    """(chain, text, rest) of every repair of single runs: the runs repaired, and the text without them; nothing is lost in one."""
+    out: dict[str, tuple[str, str]] = {}
+    for w in ("cp1252", "latin-1", "cp1251", "mac_roman"):
+        t = _as_bytes(w)
+        shown = "".join(t.get(ord(c), "\u0100") for c in text)
+        _add_run(out, f"{w}>utf-8", text, [(m.span(), _strict(m.group().encode("latin-1"), "utf-8")) for m in _MULTIBYTE.finditer(shown)])
+        for r in ("gb18030", "big5hkscs"):
+            # Two letters can pass for an ideograph: only runs that hold nothing but such letters.
+            _add_run(out, f"{w}>{r}", text, [(m.span(), _strict(m.group().encode("latin-1"), r)) for m in re.finditer("[\x81-\xfe]{4,}", shown)])
+    for w in ("gb18030", "big5hkscs"):
+        got = [(m.span(), _strict(raw, "utf-8") if (raw := _write_back(m.group(), w)) is not None else None) for m in _NON_ASCII.finditer(text)]
+        _add_run(out, f"{w}>utf-8", text, got)
+    found = [(k, t, rest) for k, (t, rest) in out.items()]
+    if data is not None and declared == "utf-8" and _LOST in text:
+        raw = data.decode("utf-8", "surrogateescape")
+        # A single broken character at a cut end is no garble.
+        broken = [m for m in _BROKEN.finditer(raw) if m.end() < len(raw.rstrip()) or len(m.group()) > 3]
+        for r in CODECS[1:]:
+            out = {}
+            _add_run(out, r, raw, [(m.span(), _strict(m.group().encode("utf-8", "surrogateescape"), r)) for m in broken])
+            for k, (t, rest) in out.items():
+                found.append((k, t.encode("utf-8", "surrogateescape").decode("utf-8", "replace"), rest.encode("utf-8", "surrogateescape").decode("utf-8", "replace")))
+    return found
+
+
+def _add_run(out: dict, chain: str, text: str, got: list) -> None:
+    """Add the text with the runs of ``got`` that could be read and are plausible."""
+    new, rest, at = [], [], 0
+    for (lo, hi), u in got:
+        if u is None or not _PLAUSIBLE.fullmatch(u) or u == text[lo:hi]:
+            continue
+        new += [text[at:lo], u]
+        rest.append(text[at:lo])
+        at = hi
+    if at:
+        out[chain] = ("".join(new) + text[at:], "".join(rest) + text[at:])
+
 
 def chains_of(text: str, data: bytes | None, declared: str) -> list[tuple[str, str]]:
     """(chain, text) of every candidate that can be carried out; the text as declared is not among them."""
@@ -200,16 +256,26 @@ class Repairer:
         if (hit := self.memo.get(key)) is not None:
             return hit
         cands = chains_of(text, data, declared)
-        if not cands:
-            r = ("", text, 0, 0)
-        else:
-            own = self.describe.cost(text)
-            best = ("", text, own)
-            for chain, t in cands:
+        own = self.describe.cost(text) if cands else 0
+        best = ("", text, own)
+        for chain, t in cands:
+            c = self.describe.cost(t) + STEP_COST * chain_steps(chain)
+            if c < best[2] and own - c >= MIN_SAVING * own:
+                best = (chain, t, c)
+        r = (best[0], best[1], own, best[2])
+        # What is garbled in places only: the saving counts against the runs in their context. Repairs shorten a text, so they end.
+        raw = data if not best[0] else None
+        while runs := runs_of(r[1], raw, declared):
+            now = self.describe.cost(r[1])
+            best = ("", r[1], now)
+            for chain, t, rest in runs:
                 c = self.describe.cost(t) + STEP_COST * chain_steps(chain)
-                if c < best[2] and own - c >= MIN_SAVING * own:
+                if c < best[2] and now - c >= MIN_SAVING * (now - self.describe.cost(rest)):
                     best = (chain, t, c)
-            r = (best[0], best[1], own, best[2])
+            if not best[0] or len(best[1].encode("utf-8", "replace")) >= len(r[1].encode("utf-8", "replace")):
+                break
+            r = (",".join(filter(None, (r[0], best[0]))), best[1], own or now, best[2])
+            raw = None
         if len(self.memo) > 200_000:
             self.memo.clear()
         self.memo[key] = r
@@ -234,7 +300,7 @@ class Repairer:
         if "\\u" in text:
             text, more = self._escaped(text)
             chains += more
-        used = sorted({c for c in chains if c})
+        used = sorted({k for c in chains if c for k in c.split(",")})
         lost_as_declared = whole.count(_LOST) - (1 if ends.endswith(_LOST) or cut else 0)
         if ends.endswith(_LOST + _LOST) or (cut and lost_as_declared <= 2 and whole.rstrip(_LOST).count(_LOST) == 0):
             lost_as_declared = whole.rstrip().rstrip(_LOST).count(_LOST)

@@ -175,11 +175,34 @@ def test_leaves_good_text(repairer, text):
     assert repairer.body(text.encode(), "text/html; charset=utf-8") == (False, False, text, "")
 
 
+@pytest.mark.parametrize(
+    "good, bad",
+    [
+        (ENGLISH + "It was the miller’s. " + ENGLISH, ENGLISH + "It was the millerâ€™s. " + ENGLISH),
+        (ENGLISH + "a café there. " + ENGLISH, ENGLISH + "a cafÃ© there. " + ENGLISH),
+        (PROSE + "他说l’été。" + PROSE, PROSE + "他说lâ€™Ã©tÃ©。" + PROSE),
+        (PROSE + "écrit par l’étrangère à Élan", PROSE + "Ã©crit par lâ€™Ã©trangÃ¨re Ã\xa0 Ã‰lan"),
+    ],
+)
+def test_restores_single_runs(repairer, good, bad):
+    garbled, whole, got, chains = repairer.body(bad.encode(), "text/plain; charset=utf-8")
+    assert garbled and whole and got == good and chains
+
+
+@pytest.mark.parametrize("text", [ENGLISH + "“CAFÉ” and “QUALITÉ”. " + ENGLISH, PROSE + "“CAFÉ”，他说。" + PROSE, ENGLISH + "SÃO PAULO, Äpfel, œuvre «À» 隆 " + ENGLISH, ENGLISH + "顾砚秋。 " + ENGLISH])
+def test_leaves_good_runs(repairer, text):
+    assert repairer.body(text.encode(), "text/plain; charset=utf-8") == (False, False, text, "")
+
+
 def test_cut_character_is_no_garble(repairer):
     assert not repairer.body(PROSE[:50].encode()[:-1], None)[0]
     assert repairer.body(PROSE[:20].encode() + b"\xff\xfe" + PROSE[20:40].encode(), None)[0]
 
 
+def test_cut_letter_is_no_garble(repairer):
+    assert not repairer.body("Il n'osait encore ti".encode() + b"\xc3", "text/html; charset=utf-8")[0]
+
+
 # ------------------------------------------------------------------------ p6
 
 
