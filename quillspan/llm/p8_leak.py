@@ -139,12 +139,47 @@ def banded_distance(a: np.ndarray, b: np.ndarray, width: int) -> int:
     return int(prev[k]) if 0 <= k < n else big
 
 
+def reach(doc: np.ndarray, item: np.ndarray, edits: int, most: int) -> list[tuple[int, int]]:
+    """(characters of the item, of the document) covered from the starts of both with 0, 1 .. ``edits`` edits, the item's as many as can be.
+
+    Furthest points per diagonal, within ``edits`` diagonals of the main one;
+    no more than ``most`` characters of the item.
+    """
+    n_item, n_doc = min(len(item), most), len(doc)
+
+    def slide(i: int, p: int) -> int:
+        n = min(n_item - i, n_doc - p)
+        wrong = np.flatnonzero(item[i : i + n] != doc[p : p + n])
+        return i + (int(wrong[0]) if len(wrong) else n)
+
+    # Per diagonal (document minus item): the furthest place in the item.
+    far = {0: slide(0, 0)}
+    best = (far[0], far[0])
+    out = [best]
+    for _ in range(edits):
+        new = dict(far)
+        for d, i in far.items():
+            for di, dd in ((1, 0), (1, -1), (0, 1)):
+                j, e = i + di, d + dd
+                if j > n_item or not 0 <= j + e <= n_doc:
+                    continue
+                to = slide(j, j + e)
+                new[e] = max(new.get(e, -1), to)
+                # A character of the item behind the document's last is no part of the window.
+                if to > best[0] and not (dd < 0 and to == j and j + e == n_doc):
+                    best = (to, to + e)
+        far = new
+        out.append(best)
+    return out
+
+
 def verify(doc: np.ndarray, item: np.ndarray, pos: np.ndarray, off: np.ndarray, window: int, edits: int) -> tuple[int, int, int, int]:
     """Best aligned window of one document and item: (matched window start, its edits, longest exact run, its start).
 
-    Candidate windows start at the hits; each is aligned in a band of
-    ``edits`` diagonals. The exact run is the longest chain of consecutive
-    hits on one diagonal.
+    Every window of the item within ``edits`` edits holds a run of hits, so
+    each run is extended to both sides in a band of ``edits`` diagonals, the
+    edits shared out between the sides in every way. The exact run is the
+    longest chain of consecutive hits on one diagonal.
     """
     diag = pos - off
     order = np.lexsort((pos, diag))
@@ -157,17 +192,16 @@ def verify(doc: np.ndarray, item: np.ndarray, pos: np.ndarray, off: np.ndarray,
     if run >= window:
         return run_at, 0, run, run_at
     found = (-1, edits + 1)
-    for f in first[np.argsort(-runs, kind="stable")]:
-        s, o = int(p[f]), int(p[f] - d[f])
-        for back in (0, (window - Q) // 2, window - Q):
-            a, b = max(0, s - back), max(0, o - back)
-            x, y = doc[a : a + window], item[b : b + window]
-            if len(x) < window or len(y) < window:
-                continue
-            e = banded_distance(x, y, edits)
-            if e < found[1]:
-                found = (a, e)
-        if found[1] <= edits:
+    for k in np.argsort(-runs, kind="stable"):
+        s, o, n = int(p[first[k]]), int(p[first[k]] - d[first[k]]), int(runs[k]) + Q - 1
+        left = reach(doc[:s][::-1], item[:o][::-1], edits, window)
+        right = reach(doc[s + n :], item[o + n :], edits, window)
+        for e in range(min(found[1], edits + 1)):
+            got = [j for j in range(e + 1) if left[j][0] + n + right[e - j][0] >= window]
+            if got:
+                found = (s - left[got[0]][1], e)
+                break
+        if found[1] <= 1:
             break
     return found[0], found[1], run, run_at
 

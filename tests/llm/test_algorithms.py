@@ -253,6 +253,41 @@ def test_folding():
     assert "".join(map(chr, cp)) == "ab1fiss" and starts.tolist() == [0, 5, 5, 7]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 10**6), st.integers(0, 12), st.integers(0, 12), st.sampled_from([0, 1, 2]))
+def test_windows_within_edits(seed, before, after, edits):
+    r = random.Random(seed)
+    Q = p8_leak.Q
+    window = Q * (edits + 1) + r.randint(0, 8)
+    part = [r.choice("abcdefgh") for _ in range(window)]
+    doc = list(part)
+    for _ in range(r.randint(0, edits + 1)):
+        k = r.randrange(len(doc))
+        doc[k : k + 1] = r.choice([[], ["x"], [doc[k], "x"]])
+    noise = [chr(0x4E00 + i) for i in range(100)]
+    item, text = "".join(noise[:before] + part + noise[20 : 20 + after]), "".join(noise[40 : 43 + before] + doc + noise[60 : 63 + after])
+    cp = {t: np.array([ord(c) for c in t]) for t in (item, text)}
+    hits = [(i, j) for i in range(len(text) - Q + 1) for j in range(len(item) - Q + 1) if text[i : i + Q] == item[j : j + Q]]
+    spans = [(i, n) for n in range(max(0, window - edits), window + edits + 1) for i in range(len(text) - n + 1)]
+    want = min((p8_leak.banded_distance(cp[item][j : j + window], cp[text][i : i + n], edits) for j in range(len(item) - window + 1) for i, n in spans), default=edits + 1)
+    if hits:
+        pos, off = np.array(hits).T
+        at, e, _, _ = p8_leak.verify(cp[text], cp[item], pos, off, window, edits)
+        assert min(e, edits + 1) == min(want, edits + 1)
+        assert e > edits or 0 <= at <= len(text)
+    else:
+        assert want > edits or window < Q * (edits + 1) + edits
+
+
+def test_window_with_one_edit():
+    item = np.arange(100, 124)
+    for k in range(24):
+        for doc in (np.delete(item, k), np.insert(item, k, 9), np.r_[item[:k], 9, item[k + 1 :]]):
+            doc = np.r_[7, doc, 8]
+            pos, off = np.array([(i, j) for i in range(len(doc) - 7) for j in range(17) if (doc[i : i + 8] == item[j : j + 8]).all()]).T
+            assert p8_leak.verify(doc, item, pos, off, 24, 1)[1] <= 1, (k, len(doc))
+
+
 # ------------------------------------------------------------------------ p9
 
 
