@@ -29,7 +29,7 @@ ABUSIVE_DOCS, OTHER_DOCS = 850, 1150
 LABEL_DOCS = ABUSIVE_DOCS + OTHER_DOCS
 WORDS, GRAMS = 1 << 14, 1 << 12
 DIM, HID, ATT = 16, 12, 8
-WINDOW, STEP = 24, 8
+WINDOW, STEP = 24, 1
 #: Tokens of a chunk in training and in scoring; chunks overlap so that every window lies whole in one.
 TRAIN_CHUNK, CHUNK = 48, 160
 EPOCHS = 10

@@ -327,6 +327,17 @@ def test_gradient():
         assert abs((up - down) / (2 * h) - grad[k]) < 1e-2 + 0.1 * abs(grad[k]), name
 
 
+def test_scores_every_window():
+    w = p10_abuse.WINDOW
+    for n in (1, w, w + 1, 159, 160, 161, 400):
+        doc = np.arange(1, n + 1, dtype=np.int32)
+        chunks, own = p10_abuse.chunked([doc], p10_abuse.CHUNK)
+        hs = np.zeros((p10_abuse.CHUNK, len(chunks), 2 * p10_abuse.HID), np.float32)
+        at = p10_abuse.window_logits(p10_abuse.init(1), hs, chunks.T > 0)[4]
+        starts = {int(c[a]) for c in chunks for a in at if c[a] and (n < w or c[min(a + w, len(c)) - 1])}
+        assert starts == set(range(1, max(1, n - w + 1) + 1)) and not own.any()
+
+
 def test_learns_passages():
     r = random.Random(2)
     plain = ["the road was long and quiet", "snow bent the bamboo", "he folded the letter", "路断了只好回去", "雪压弯了竹枝"]
