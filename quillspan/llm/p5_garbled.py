@@ -52,11 +52,12 @@ def train_dictionaries(spark: SparkSession, sf_dir: str) -> dict[str, bytes]:
     """
     src = table(spark, sf_dir, "novel_source").where("source_lang is not null").groupBy(F.col("platform_id").alias("source")).agg(F.min("source_lang").alias("language"))
     docs = table(spark, sf_dir, "documents").where("text is not null").join(F.broadcast(src), "source")
-    # The threshold on the hash keeps the window small; it never drops below the sample itself.
+    # Only ids are ranked; the sample's texts are then read whole.
     from pyspark.sql import Window
 
     w = Window.partitionBy("language").orderBy(F.xxhash64("doc_id"), "doc_id")
-    rows = docs.select("language", "doc_id", F.substring("text", 1, 6000).alias("text")).withColumn("k", F.row_number().over(w)).where(F.col("k") <= DICT_DOCS).orderBy("language", "k").collect()
+    picked = docs.select("language", "doc_id").withColumn("k", F.row_number().over(w)).where(F.col("k") <= DICT_DOCS)
+    rows = docs.select("language", "doc_id", "text").join(F.broadcast(picked), ["language", "doc_id"]).orderBy("language", "k").collect()
     by: dict[str, list[bytes]] = {}
     for r in rows:
         for ln in r.text.split("\n"):

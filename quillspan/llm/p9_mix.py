@@ -115,9 +115,11 @@ def memberships(spark: SparkSession, sf_dir: str, mix: pd.DataFrame, tokenizer:
     from pyspark.sql import Window
 
     order = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # A hash threshold keeps the ranking small: it lets through many times the sample wherever a domain has that many rows.
-    known = docs.where("source is not null").select("doc_id", F.substring("text", 1, 3000).alias("text"), domain.alias("domain"))
-    sample = known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= CLASS_DOCS).orderBy("domain", "k").collect()
+    # Only ids are ranked; the sample's texts are then read whole.
+    known = docs.where("source is not null").select("doc_id", domain.alias("domain"))
+    picked = known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= CLASS_DOCS)
+    texts = docs.where("source is not null").select("doc_id", "text", domain.alias("domain"))
+    sample = texts.join(F.broadcast(picked), ["doc_id", "domain"]).orderBy("domain", "k").collect()
     labels = names + [OTHER]
     w = fit_classifier([r.text for r in sample], np.asarray([labels.index(r.domain) for r in sample]), len(labels)) if sample else np.zeros((FEATURES + 1, len(labels)))
     shared = spark.sparkContext.broadcast((w, labels, tokenizer))

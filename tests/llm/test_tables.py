@@ -7,12 +7,13 @@ from collections import defaultdict
 from datetime import datetime
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspan import llm
-from quillspan.llm import p1_cut, p2_split, p4_lookalike, p6_lines, p7_content, p8_leak, p9_mix
+from quillspan.llm import p1_cut, p2_split, p4_lookalike, p5_garbled, p6_lines, p7_content, p8_leak, p9_mix
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = {
@@ -197,6 +198,17 @@ def test_p7_site(spark, tmp_path):
     assert got == {(f"r{i}", n) for i in range(12) for n in (4, 6, 7, 8, 9)}
 
 
+def test_samples_hold_whole_texts(spark, tmp_path, monkeypatch):
+    text = "word " * 2000 + "lastly"
+    d = write(spark, tmp_path, documents=(OTHER["documents"][0], [(1, text, "en", "pa"), (2, "short one", "en", "pa")]), mix_target=(OTHER["mix_target"][0], [("pa", 1.0, 2)]), novel_source=("source_id string, platform_id string, source_lang string", [("s", "pa", "en")]))
+    seen = []
+    monkeypatch.setattr(p9_mix, "fit_classifier", lambda texts, y, k: seen.extend(texts) or np.zeros((p9_mix.FEATURES + 1, k)))
+    p9_mix.memberships(spark, d, p9_mix.targets(spark, d), p9_mix.TOKENIZER_PATH)
+    assert sorted(seen) == ["short one", text]
+    monkeypatch.setattr(p5_garbled.zstandard, "train_dictionary", lambda size, parts: (_ for _ in ()).throw(p5_garbled.zstandard.ZstdError("none")))
+    assert "lastly" in p5_garbled.train_dictionaries(spark, d)["en"].decode()
+
+
 def test_p9_shares(spark, tmp_path):
     docs = [(i, " ".join(f"alpha{j}" for j in range(20 + i % 7)), "en", "a") for i in range(400)] + [(1000 + i, "beta gamma " * (8 + i % 5), "en", "b") for i in range(150)] + [(5000 + i, "delta " * 30, "en", "c") for i in range(50)]
     d = write(spark, tmp_path, documents=(OTHER["documents"][0], docs), mix_target=(OTHER["mix_target"][0], [("a", 0.5, 1), ("b", 0.5, 3)]))
