@@ -116,9 +116,11 @@ _CUT_TAG = re.compile(r"<(?:[/!?a-zA-Z][^<>]*)?\Z")
 _BLANKS = re.compile(r"[^\S\n]+")
 
 
+_PAGE = re.compile("[\ufeff \t\r\n]*<[!?a-zA-Z]")
+
+
 def is_markup(text: str) -> bool:
-    head = text[:600].lstrip("﻿ \t\r\n")
-    return head.startswith("<") and bool(re.match(r"<[!?a-zA-Z]", head))
+    return bool(_PAGE.match(text))
 
 
 def _json_strings(value, out: list[str]) -> None:
@@ -244,28 +246,6 @@ def shingles(texts: list[str], n: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.n
     return mix64(acc[ok]), owner[:m][ok]
 
 
-def minhash_bands(texts: list[str], bands: int = 12, rows: int = 3, n: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(index of text, bands x its band keys) for every text that has a shingle.
-
-    With 12 bands of 3 rows a pair at Jaccard 0.8 shares a band with probability 0.9998.
-    """
-    s, owner = shingles(texts, n)
-    if not len(s):
-        return np.zeros(0, np.int64), np.zeros((0, bands), np.int64)
-    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-    ids = owner[first]
-    keys = np.empty((len(ids), bands), np.int64)
-    with np.errstate(over="ignore"):
-        for b in range(bands):
-            acc = np.full(len(ids), b + 1, np.uint64)
-            for r in range(rows):
-                k = np.uint64(2 * (b * rows + r) + 1)
-                low = np.minimum.reduceat((s ^ (k * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(16), first)
-                acc = mix64(acc * np.uint64(0x100000001B3) + low)
-            keys[:, b] = acc.view(np.int64)
-    return ids, keys
-
-
 # ------------------------------------------------------------ column helpers
 
 def latest(df: DataFrame, key: str, *payload: str) -> DataFrame:

@@ -44,12 +44,30 @@ def test_shingles_follow_words(texts):
 def test_banding_finds_near_copies():
     r = random.Random(1)
     found = 0
-    for _ in range(200):
-        words = [f"w{r.randint(0, 9999)}" for _ in range(120)]
-        cut = words[: 120 - r.randint(1, 20)]
-        ids, keys = common.minhash_bands([" ".join(words), " ".join(cut)], p1_cut.BANDS, p1_cut.ROWS)
-        found += bool((keys[0] == keys[1]).any())
-    assert found >= 198
+    for _ in range(300):
+        words = [f"w{r.randint(0, 9999)}" for _ in range(r.choice((20, 60, 400)))]
+        cut = words[: max(9, int(len(words) * r.choice((0.4, 0.7, 0.9))))]
+        if len(cut) >= 60 and r.random() < 0.5:
+            cut[r.randrange(len(cut))] = "other"
+        own = p1_cut.beginning_keys([" ".join(cut)], True)[1]
+        all_of = p1_cut.beginning_keys([" ".join(words)], False)[1]
+        found += bool((own[:, None] == all_of).any())
+    assert found >= 280
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=5), st.integers(0, 99))
+def test_beginning_keys_are_those_of_the_beginnings(sizes, seed):
+    r = random.Random(seed)
+    texts = [" ".join(f"w{r.randint(0, 99)}" for _ in range(n)) for n in sizes]
+    ids, keys = p1_cut.beginning_keys(texts, False)
+    want = []
+    for i, t in enumerate(texts):
+        words = t.split()
+        for n in p1_cut.lengths_upto(len(words)):
+            if n <= len(words):
+                want.append((i, *p1_cut.beginning_keys([" ".join(words[:n])], True)[1][0].tolist()))
+    assert [(int(i), *k) for i, k in zip(ids, keys.tolist())] == want
 
 
 # -------------------------------------------------------------------- p1, p2
@@ -57,21 +75,21 @@ def test_banding_finds_near_copies():
 
 def test_early_end():
     PROSE = "".join(chr(0x4E00 + i * 37 % 3000) for i in range(240))
-    assert p1_cut.ends_early(PROSE[:-20], PROSE)
+    for lost in (24, 72, 144):
+        assert p1_cut.ends_early(PROSE[:-lost], PROSE) == 2
     assert not p1_cut.ends_early(PROSE, PROSE[:-20])
     assert not p1_cut.ends_early(PROSE, PROSE)
-    assert not p1_cut.ends_early(PROSE[:60], PROSE)  # below the similarity of near-copies
+    assert not p1_cut.ends_early("".join(c + "异" * (i % 4 == 0) for i, c in enumerate(PROSE[:60])), PROSE)  # below the similarity of near-copies
     assert not p1_cut.ends_early("", PROSE) and not p1_cut.ends_early(PROSE, "")
 
 
 def test_early_end_stops_inside_a_sentence():
     words = " ".join(f"word{i}" for i in range(60))
-    assert p1_cut.ends_early(words + ' “Go!”', words + ' “Go!” said the miller.')
-    assert p1_cut.ends_early(words + " he le", words + " he left. So it ended.")
-    assert not p1_cut.ends_early(words + " he left.", words + " he left. So it ended.")
-    assert not p1_cut.ends_early(words + " he left", words + " he left\nRead on at our site")
+    assert p1_cut.ends_early(words + ' “Go!”', words + ' “Go!” said the miller.') == 2
+    assert p1_cut.ends_early(words + " he le", words + " he left. So it ended.") == 2
+    assert p1_cut.ends_early(words + " he left.", words + " he left. So it ended.") == 1
+    assert p1_cut.ends_early(words + " he left", words + " he left\nRead on at our site") == 1
     assert not p1_cut.ends_early(words + " felt cold.", words + " felt very cold.")  # a word more inside the last sentence
-    assert p1_cut.distinct_runs(["a b c d e a b c d e", "", "一二三四五六"]).tolist() == [5, 0, 2]
 
 
 def test_endings():
@@ -82,6 +100,8 @@ def test_endings():
     assert p1_cut.ending('{"a": "b', False)[2] is True
     assert p1_cut.ending('{"a": "b"}', False)[2] is False
     assert p1_cut.ending("plain", True)[2] is True
+    assert p1_cut.ending("<p>a</p><script>" + "x = 1; " * 2000, False)[2] is True  # however long the open script is
+    assert p1_cut.ending(" " * 5000 + "<p>a</p>", False)[0] == "markup"
     assert p1_cut.grade("第三章 归途", True) == 0 and p1_cut.grade("", True) == 0
     assert p1_cut.grade(PROSE[:-5], True) == 2
     assert p1_cut.grade("Chapter 3: Copper Ford", True) == 0

@@ -186,6 +186,40 @@ def test_p1_copies_behind_a_usual_mark(spark, tmp_path):
     assert {(r.record_kind, r.record_id) for r in got} == {("response", "b"), ("segment", "c")}
 
 
+def test_p1_copies_that_lost_more(spark, tmp_path):
+    """Copies that lost 10, 30 and 60 %, one that stops behind a sentence, a pair of responses of which one is whole markup."""
+    words = [f"word{i}" for i in range(100)]
+    words[49] += "."
+    whole = "It began. " + " ".join(words) + "."
+    cuts = {f"c{n}": whole.rsplit(" ", n)[0] for n in (10, 30, 60)} | {"stop": " ".join(whole.split()[:52])}
+    data = [(f"n{i}", "d", "w", 1, i, "p", f"Another text number {i} stands here alone. It ends as it should.", "h") for i in range(40)]
+    data += [("whole", "d", "w", 1, 90, "p", whole, "h"), *((k, "e", "w", 1, 91 + i, "p", t, "h") for i, (k, t) in enumerate(cuts.items()))]
+    page = [f"p{i}" for i in range(200)]
+    html = "<html><body><p>" + " ".join(page) + ".</p></body></html>"
+    res = [("page", "S", "u", 200, bytearray(html.encode()), "text/html"), ("part", "S", "v", 200, bytearray(" ".join(page[:90]).encode()), "text/plain")]
+    d = write(spark, tmp_path, segment=(SEGMENT, data), response=(RESPONSE, res))
+    got = {r.record_id: (r.by_copy, r.is_cut) for r in p1_cut.scored(spark, d, finished=True).where("by_copy").collect()}
+    assert got == {"c10": (True, True), "c30": (True, True), "c60": (True, True), "part": (True, True), "stop": (True, False)}
+    assert "stop" not in {r.record_id for r in p1_cut.scored(spark, d).where("by_copy").collect()}
+
+
+def test_p1_hot_band(spark, tmp_path, monkeypatch):
+    """Many texts with one beginning: paired by their closing words, and by the longest of a class beyond that."""
+    head = " ".join(f"head{i}" for i in range(30))
+    data = [(f"w{i}", "d", "w", 1, i, "p", f"{head} " + " ".join(f"t{i}x{j}" for j in range(14)) + ".", "h") for i in range(30)]
+    data += [(f"c{i}", "e", "w", 2, i, "p", f"{head} " + " ".join(f"t{i}x{j}" for j in range(6)), "h") for i in range(30)]
+    data += [(f"o{i}", "e", "w", 3, i, "p", f"{head} " + " ".join(f"o{i}x{j}" for j in range(6)), "h") for i in range(10)]
+    d = write(spark, tmp_path, segment=(SEGMENT, data))
+    want = {f"c{i}" for i in range(30)}
+    for limit in (4096, 20):
+        monkeypatch.setattr(p1_cut, "HOT_PAIRS", limit)
+        assert {r.record_id for r in p1_cut.scored(spark, d).where("by_copy").collect()} == want
+    # One class of copies beyond the limit: its longest text answers for all.
+    same = [(f"s{i}", "d", "w", 4, i, "p", f"{head} tail0 tail1 tail2 tail3 tail4 more{i} of it.", "h") for i in range(30)] + [(f"k{i}", "d", "w", 5, i, "p", f"{head} tail0 tail1 tail2 tail3 tail{'' if i else '4'}", "h") for i in range(2)]
+    d = write(spark, tmp_path, segment=(SEGMENT, same))
+    assert {r.record_id for r in p1_cut.scored(spark, d).where("by_copy").collect()} == {"k0", "k1"}
+
+
 def test_p7_site(spark, tmp_path):
     nodes, res = [], []
     for i in range(12):
