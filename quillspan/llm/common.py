@@ -204,6 +204,38 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), starts
 
 
+def slices(sizes: list[int], most: int = 400_000) -> list[tuple[int, int]]:
+    """Ranges of consecutive texts of at most ``most`` characters together (a longer text stands alone), so that arrays over characters stay small."""
+    out, lo, held = [], 0, 0
+    for i, n in enumerate(sizes):
+        if held and held + n > most:
+            out.append((lo, i))
+            lo, held = i, 0
+        held += n
+    if lo < len(sizes):
+        out.append((lo, len(sizes)))
+    return out
+
+
+_ALPHA: np.ndarray | None = None
+
+
+def letter_counts(texts: list[str]) -> np.ndarray:
+    """Letters of each text; ideographs and what follows them in Unicode count two."""
+    global _ALPHA
+    if _ALPHA is None:
+        _ALPHA = np.fromiter(((2 if c > 0x2E80 else 1) * chr(c).isalpha() for c in range(0x110000)), np.int8, 0x110000)
+    cp, starts = code_points(texts)
+    upto = np.zeros(len(cp) + 1, np.int64)
+    np.cumsum(_ALPHA[cp], out=upto[1:])
+    return upto[starts[1:]] - upto[starts[:-1]]
+
+
+def small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """A materialised table of at most ``most`` rows as a broadcast side of a join; a larger one as it is, to be shuffled."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def word_tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of each text in order, and the index of the text each word belongs to."""
     cp, starts = code_points([t.lower() for t in texts])
