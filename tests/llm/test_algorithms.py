@@ -236,6 +236,10 @@ def test_line_signatures():
     own, sig = p6_lines.signatures(["abcdefghij", "abcdefghij", "ab", "", "abcdefghijk"])
     assert own[0] == own[1] and (sig[0] == sig[1]).all() and len({*own[1:].tolist()}) == 4
     assert (sig[0] == sig[4]).mean() >= 0.5
+    for line in ("Updated 3 May 2020 by Ann", "Updated 4 June 2021 by Bob", "UPDATED BY"):
+        assert p6_lines.masked_letters(line, p6_lines.letters_of(line)) == "updatedby"
+    assert p6_lines.masked_letters("第三章 归途", "第三章归途") == "第章归途"
+    assert p6_lines.masked_letters("by Ann", "byann") == "byann"  # too little would be left
 
 
 # ------------------------------------------------------------------------ p7

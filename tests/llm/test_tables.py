@@ -220,6 +220,23 @@ def test_p1_hot_band(spark, tmp_path, monkeypatch):
     assert {r.record_id for r in p1_cut.scored(spark, d).where("by_copy").collect()} == {"k0", "k1"}
 
 
+def test_p6_clusters_decide(spark, tmp_path, monkeypatch):
+    """Near-duplicates of a repeated line go with it; sentences of one pattern without such a line stay."""
+    notice = "Please support the author by reading this chapter only on our own site"
+    seg, chap = [], []
+    for i in range(12):
+        line = notice + (", thanks" if i == 5 else ", dear friend" if i == 6 else "") + "."
+        seg.append((f"s{i}", f"d{i}", "w", i, 1, "section", f"{line}\nUpdated {i + 1} March 2021\nText {chr(97 + i) * 7} of its own {chr(110 - i) * 9} here", "h"))
+        chap.append((f"c{i}", "w", f"d{i}", "S", f"https://www.a.example/{i}", i))
+    d = write(spark, tmp_path, segment=(SEGMENT, seg), chapter_ref=(CHAPTER, chap))
+    exact = {(f"s{i}", 1) for i in range(12) if i not in (5, 6)} | {(f"s{i}", 2) for i in range(12)}
+    assert {tuple(r) for r in p6_lines.p6_found(spark, d).collect()} == exact
+    assert {r.n_removed for r in p6_lines.p6_clean(spark, d).collect()} == {2}
+    assert {(r.is_exact, r.n_docs, r.cluster_docs) for r in p6_lines.p6_lines(spark, d).collect()} == {(True, 10, 12), (False, 1, 12), (True, 12, 12)}
+    monkeypatch.setattr(p6_lines, "CLUSTER_AGREEMENT", 1.1)  # without clusters the variants stay
+    assert {r.n_removed for r in p6_lines.p6_clean(spark, d).collect()} == {1, 2}
+
+
 def test_p7_site(spark, tmp_path):
     nodes, res = [], []
     for i in range(12):
