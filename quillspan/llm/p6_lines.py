@@ -37,7 +37,7 @@ _MONTHS = (
     "januar februar märz juni juli oktober dezember enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre"
 )
 _DATE = re.compile(r"\d+|(?<!\w)(?:" + "|".join(sorted(_MONTHS.split(), key=len, reverse=True)) + r")(?!\w)|[〇零一二三四五六七八九十百千万]+(?=[年月日号时点分章回节卷第])", re.I)
-_NAME = re.compile(r"《[^》]*》|「[^」]*」|(?<=[^\W\d_] )[A-ZÀ-ÖØ-Þ][\w’'-]+(?: [A-ZÀ-ÖØ-Þ][\w’'-]+)*")
+_NAME = re.compile(r"《[^》]*》|「[^」]*」|(?<=[^\W\d_] )[A-ZÀ-ÖØ-Þ][a-zß-ÿ][\w’'-]*(?: [A-ZÀ-ÖØ-Þ][a-zß-ÿ][\w’'-]*)*")
 
 
 def masked_letters(line: str, letters: str) -> str:
