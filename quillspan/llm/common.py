@@ -217,17 +217,27 @@ def slices(sizes: list[int], most: int = 400_000) -> list[tuple[int, int]]:
     return out
 
 
-_ALPHA: np.ndarray | None = None
+_TABLES: dict[str, np.ndarray] = {}
+
+
+def per_char(cp: np.ndarray, name: str, value) -> np.ndarray:
+    """``value(character)`` of every code point as int8, from a table over the basic plane that is made once under ``name``."""
+    t = _TABLES.get(name)
+    if t is None:
+        t = _TABLES[name] = np.fromiter((value(chr(c)) for c in range(65536)), np.int8, 65536)
+    out = t[np.minimum(cp, 65535)]
+    far = np.flatnonzero(cp > 65535)
+    if len(far):
+        u, at = np.unique(cp[far], return_inverse=True)
+        out[far] = np.fromiter((value(chr(c)) for c in u), np.int8, len(u))[at]
+    return out
 
 
 def letter_counts(texts: list[str]) -> np.ndarray:
     """Letters of each text; ideographs and what follows them in Unicode count two."""
-    global _ALPHA
-    if _ALPHA is None:
-        _ALPHA = np.fromiter(((2 if c > 0x2E80 else 1) * chr(c).isalpha() for c in range(0x110000)), np.int8, 0x110000)
     cp, starts = code_points(texts)
     upto = np.zeros(len(cp) + 1, np.int64)
-    np.cumsum(_ALPHA[cp], out=upto[1:])
+    np.cumsum(per_char(cp, "letters", lambda c: (2 if c > "⺀" else 1) * c.isalpha()), out=upto[1:])
     return upto[starts[1:]] - upto[starts[:-1]]
 
 
