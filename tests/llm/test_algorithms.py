@@ -2,6 +2,7 @@
 
 import difflib
 import random
+import re
 import unicodedata
 
 import numpy as np
@@ -145,8 +146,31 @@ def test_no_placeholders(text):
 
 
 def test_filler():
-    assert p3_residue.REPEATED.match("测试测试测试测试") and p3_residue.REPEATED.match("asdf asdf asdf")
-    assert p3_residue.DUMMY.match("Lorem ipsum dolor") and not p3_residue.REPEATED.match(PROSE[:45])
+    for t in ("测试测试测试测试", "asdf asdf asdf", "啊啊啊啊啊啊", "测试。" * 40_000):
+        assert p3_residue.repeats_itself(t)
+    for t in (PROSE[:45], "", "啊啊", "测试测试", "asdf asdf asdg", PROSE[:45] * 2):
+        assert not p3_residue.repeats_itself(t)
+    assert p3_residue.DUMMY.match("Lorem ipsum dolor")
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab 中文1２,。_\n", max_size=20), min_size=1, max_size=5))
+def test_residue_features(texts):
+    flat, lens = p3_residue.features_of(texts)
+    assert int(lens.sum()) == len(flat)
+    at = np.r_[0, np.cumsum(lens)]
+    for i, t in enumerate(texts):
+        alone, n = p3_residue.features_of([t])
+        assert alone.tolist() == flat[at[i] : at[i + 1]].tolist() and n[0] == lens[i]
+        words = re.findall(r"[一-鿿]|[^\W\d_一-鿿]+|\d+|[^\w\s]", t.lower())
+        plain = {("w", w) for w in words if len(w) > 1 and w.isalpha() or not w.isalpha()} | {("p", a, b) for a, b in zip(["^", *words], [*words, "$"])} if words else set()
+        plain = {tuple("0" if x.isdigit() else x for x in f) for f in plain}
+        assert lens[i] == (len(plain) + 1 + (len(words) >= 6) if words else 0)
+
+
+def test_residue_reads_whole_passages():
+    far = "x " * 60_000
+    assert set(p3_residue.features_of([far + "needle"])[0]) != set(p3_residue.features_of([far + "thread"])[0])
 
 
 # ------------------------------------------------------------------------ p4
