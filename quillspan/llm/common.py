@@ -40,13 +40,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Partitions of heavy stages: the session's shuffle partitions, at least one for every core."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def fan_out(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a few input splits over all cores before Python-heavy work.
 
     Parquet inputs of a few megabytes arrive as one or two splits; the row
     payload is shuffled once (round robin or by key) so every core works.
     """
-    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    n = parallelism(df.sparkSession)
     return df.repartition(n, *keys) if keys else df.repartition(n)
 
 

@@ -21,18 +21,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage, table
+from .common import cut_lineage, parallelism, table
 
-# Letters of other scripts that look like a Latin letter.
+# Letters of other scripts, and rarer Latin letters, that look like a letter of the Latin alphabet.
 LOOK_ALIKES = {
     # Cyrillic
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w", "ӏ": "l",
-    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "І": "I", "Ј": "J", "Ѕ": "S", "Ԛ": "Q", "Ԝ": "W",
+    "а": "a", "г": "r", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "ѵ": "v", "һ": "h", "ӏ": "l", "ԁ": "d", "ԛ": "q", "ԝ": "w",
+    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ѵ": "V", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W",
     # Greek
-    "ο": "o", "ν": "v", "ι": "i", "α": "a", "ρ": "p", "υ": "u", "κ": "k",
+    "α": "a", "γ": "y", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "σ": "o", "υ": "u",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
-    # Armenian and Latin letters with the same shape
-    "օ": "o", "ո": "n", "ս": "u", "ց": "g", "հ": "h", "ı": "i", "ɡ": "g", "ɑ": "a",
+    # Armenian
+    "հ": "h", "ո": "n", "ս": "u", "ց": "g", "օ": "o", "Լ": "L", "Ս": "U", "Տ": "S", "Օ": "O",
+    # Coptic
+    "ⲟ": "o", "ⲥ": "c", "Ⲁ": "A", "Ⲃ": "B", "Ⲉ": "E", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    # Latin
+    "ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ᴄ": "c", "ᴏ": "o", "ᴜ": "u", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s",
 }
 # Dashes and marks drawn alike.
 MARK_ALIKES = {"‐": "-", "‑": "-", "−": "-", "ʼ": "’", "․": ".", "∕": "/", "⁄": "/", "∶": ":", "ː": ":", "·": "·", "・": "·", "‧": "·", "•": "•"}
@@ -59,6 +67,8 @@ def _parts(c: str) -> str:
     if c != "\n" and (c.isspace() or unicodedata.category(c) == "Zs"):
         return " "
     d = unicodedata.decomposition(c)
+    if "\u3131" <= c <= "\u318e":  # letters of Hangul that stand alone are no part of a syllable
+        return c
     if not d or d.startswith(_SEEN):
         return unicodedata.normalize("NFD", c)
     out = [chr(int(x, 16)) for x in d.split() if not x.startswith("<")]
@@ -99,6 +109,56 @@ def compositions() -> dict[str, str]:
     return out
 
 
+@lru_cache(maxsize=1)
+def joined_signs() -> dict[str, str]:
+    """Pairs that compose although the second sign is of class 0 (vowel signs in two parts)."""
+    out = {}
+    for o in range(0x900, 0x20000):
+        d = "" if 0xAC00 <= o <= 0xDFFF else unicodedata.decomposition(chr(o))
+        if d and not d.startswith("<") and " " in d:
+            pair = "".join(chr(int(x, 16)) for x in d.split())
+            if unicodedata.normalize("NFC", pair) == chr(o) and not unicodedata.combining(pair[1]):
+                out[pair] = chr(o)
+    return out
+
+
+#: A syllable of Hangul in parts: two or three letters, or a syllable without a last letter and that letter.
+_HANGUL = r"[\x{1100}-\x{1112}][\x{1161}-\x{1175}][\x{11a8}-\x{11c2}]?|[\x{ac00}-\x{d7a3}][\x{11a8}-\x{11c2}]"
+
+
+@lru_cache(maxsize=1)
+def mark_class() -> str:
+    """Combining marks of a class above 0, as a Java regular expression; other marks move nowhere."""
+    return f"[{_ranges([o for o in range(0x300, 0x20000) if not 0xD800 <= o <= 0xDFFF and unicodedata.combining(chr(o))])}]"
+
+
+@lru_cache(maxsize=1)
+def joined() -> str:
+    """What composes before any mark is looked at, as a Java regular expression."""
+    return "|".join([_HANGUL, *(f"\\x{{{ord(a):x}}}\\x{{{ord(b):x}}}" for a, b in sorted(joined_signs()))])
+
+
+def syllables() -> dict[str, str]:
+    """Syllables of Hangul in parts -> composed, by the arithmetic of the standard."""
+    out = {}
+    for lead in range(19):
+        for vowel in range(21):
+            whole = 0xAC00 + (lead * 21 + vowel) * 28
+            parts = chr(0x1100 + lead) + chr(0x1161 + vowel)
+            out[parts] = chr(whole)
+            for last in range(1, 28):
+                out[parts + chr(0x11A7 + last)] = out[chr(whole) + chr(0x11A7 + last)] = chr(whole + last)
+    return out
+
+
+@lru_cache(maxsize=1)
+def composed_at() -> tuple[str, str, str]:
+    """(bases, marks, table): the composed letter of base i and mark j is entry ``i * len(marks) + j`` of the table, split at commas."""
+    pairs = compositions()
+    bases, marks = "".join(sorted({p[0] for p in pairs})), "".join(sorted({p[1] for p in pairs}))
+    return bases, marks, ",".join(pairs.get(b + m, "") for b in bases for m in marks)
+
+
 def _ranges(cps: list[int]) -> str:
     out, i = [], 0
     while i < len(cps):
@@ -110,12 +170,30 @@ def _ranges(cps: list[int]) -> str:
     return "".join(out)
 
 
+#: Ranges of which most characters of a text are.
+_COMMON = ((0x20, 0x7F), (0xA1, 0x180), (0x2013, 0x2027), (0x3001, 0x3030), (0x4E00, 0xA000))
+
+
 @lru_cache(maxsize=1)
-def patterns() -> tuple[str, str]:
-    """(affected anywhere, pieces) as Java regular expressions."""
+def patterns() -> tuple[str, str, str, str]:
+    """Java regular expressions: what is mapped alone and the pieces of texts without more; what may compose and the pieces of texts that hold it."""
     mapped = _ranges(sorted(ord(c) for c in single_map() if not unicodedata.combining(c)))
-    piece = rf"[^\p{{M}}]\p{{M}}+|\p{{M}}+|[{mapped}]|(?:[^\p{{M}}{mapped}](?!\p{{M}}))+"
-    return rf"[\p{{M}}{mapped}]", piece
+    second = _ranges(sorted({ord(p[1]) for p in joined_signs()} | set(range(0x11A8, 0x11C3))))
+    first = _ranges(sorted({ord(p[0]) for p in joined_signs()} | set(range(0x1100, 0x1113))))
+    mark = mark_class()
+    some = mark[1:-1]
+    # A run that nothing maps ends before a base with marks and before a sign that composes with what stands before it.
+    run = rf"(?:[^{some}{mapped}{first}](?![{some}{second}]))+"
+    piece = rf"{run}|(?:{joined()}|[^{some}]){mark}+|{mark}+|{joined()}|[^{some}]"
+    # The large classes are only asked about characters outside of a few common ranges, which nothing maps.
+    common = _ranges([o for a, b in _COMMON for o in range(a, b) if chr(o) not in single_map()])
+    return rf"(?![{common}])[{mapped}]", rf"[{common}]++|[^{common}]", rf"(?![{common}])[{some}{second}\x{{1161}}-\x{{1175}}]", piece
+
+
+@lru_cache(maxsize=1)
+def unseen() -> str:
+    """Characters of which nothing is seen, marks of a class above 0 left out, as a Java regular expression."""
+    return f"[{_ranges(sorted(ord(c) for c, to in single_map().items() if not to and not unicodedata.combining(c)))}]+"
 
 
 def _maps(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -124,6 +202,10 @@ def _maps(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return single, spark.createDataFrame(rows, "cp string, ccc int")
 
 
+def _joined_map(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(sorted((joined_signs() | syllables()).items()), "piece string, to_piece string")
+
+
 def canonical_pieces(pieces: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, canon`` from ``keys, pos, piece``: maps, orders, recomposes and rebuilds.
 
@@ -132,30 +214,35 @@ def canonical_pieces(pieces: DataFrame, keys: list[str]) -> DataFrame:
     """
     spark = pieces.sparkSession
     single, classes = _maps(spark)
-    single, classes = F.broadcast(single), F.broadcast(classes)
+    single, classes = F.broadcast(single.unionByName(_joined_map(spark))), F.broadcast(classes)
     mapped = pieces.join(single, "piece", "left").withColumn("form", F.coalesce("to_piece", "piece"))
-    marked = F.col("piece").rlike(r"\p{M}")
-    mark_map = F.create_map(*[F.lit(x) for kv in compositions().items() for x in kv])
+    marked = F.col("piece").rlike(mark_class())
+    bases, marks, letters = composed_at()
+    # Folded to one literal array: the entry of a base and a mark is read at its place.
+    letters = F.split(F.lit(letters), ",")
+
+    def composed_of(head, mark):
+        i, j = F.instr(F.lit(bases), F.right(head, F.lit(1))), F.instr(F.lit(marks), mark)
+        return F.when((i > 0) & (j > 0), F.nullif(F.get(letters, (i - 1) * len(marks) + j - 1), F.lit("")))
 
     # Clusters of a base and its marks: positioned code points, mapped one by one.
     cps = (
         mapped.where(marked)
-        .select(*keys, "pos", F.posexplode(F.split("piece", "")).alias("sub", "piece"))
-        .where("piece <> ''")
+        .select(*keys, "pos", F.posexplode(F.regexp_extract_all("piece", F.lit(rf"{joined()}|[\s\S]"), 0)).alias("sub", "piece"))
         .join(single, "piece", "left")
         .withColumn("form", F.coalesce("to_piece", "piece"))
         .select(*keys, "pos", "sub", F.posexplode(F.split("form", "")).alias("part", "cp"))
-        .where("cp <> ''")
         .join(classes, "cp", "left")
         .withColumn("ccc", F.coalesce("ccc", F.lit(0)))
     )
-    ordered = F.array_sort(F.collect_list(F.struct((F.col("ccc") > 0).alias("late"), "ccc", "sub", "part", "cp")))
+    # Pieces of which nothing is seen keep their place, so that no text is lost.
+    ordered = F.array_sort(F.collect_list(F.when(F.col("cp") != "", F.struct((F.col("ccc") > 0).alias("late"), "ccc", "sub", "part", "cp"))))
     composed = F.aggregate(
         "cps",
         F.struct(F.lit("").alias("head"), F.lit("").alias("tail"), F.lit(0).alias("last")),
         lambda acc, x: F.when(
-            (x["ccc"] > 0) & ((acc["last"] < x["ccc"]) | (acc["tail"] == "")) & (F.length(acc["head"]) > 0) & F.map_contains_key(mark_map, F.concat(F.substring(acc["head"], -1, 1), x["cp"])),
-            F.struct(F.concat(F.expr("''"), F.regexp_replace(acc["head"], ".$", ""), F.element_at(mark_map, F.concat(F.substring(acc["head"], -1, 1), x["cp"]))).alias("head"), acc["tail"].alias("tail"), acc["last"].alias("last")),
+            (x["ccc"] > 0) & ((acc["last"] < x["ccc"]) | (acc["tail"] == "")) & (F.length(acc["head"]) > 0) & composed_of(acc["head"], x["cp"]).isNotNull(),
+            F.struct(F.concat(F.left(acc["head"], F.length(acc["head"]) - 1), composed_of(acc["head"], x["cp"])).alias("head"), acc["tail"].alias("tail"), acc["last"].alias("last")),
         ).otherwise(
             F.when(x["ccc"] == 0, F.struct(F.concat(acc["head"], acc["tail"], x["cp"]).alias("head"), F.lit("").alias("tail"), F.lit(0).alias("last"))).otherwise(
                 F.struct(acc["head"].alias("head"), F.concat(acc["tail"], x["cp"]).alias("tail"), x["ccc"].alias("last"))
@@ -174,16 +261,18 @@ def canonicalise(texts: DataFrame, keys: list[str], text: str = "normalized_text
     ``keys`` must be unique. Null texts stay null, empty texts empty. Texts
     without an affected code point are their own form and are not exploded.
     """
-    affected, piece = patterns()
-    t = texts.select(*keys, F.col(text).alias("_t"))
-    hit = F.coalesce(F.col("_t").rlike(affected), F.lit(False))
-    marks = F.coalesce(F.col("_t").rlike(r"\p{M}"), F.lit(False))
-    plain = t.where(~hit).select(*keys, squeezed(F.col("_t")).alias("canon"))
-    explode = lambda df: df.select(*keys, F.posexplode(F.regexp_extract_all("_t", F.lit(piece), 0)).alias("pos", "piece"))
-    # Texts without combining marks need no ordering and no composition: one explode, one join, one rebuild.
+    alone, simple_piece, composing, piece = patterns()
     single = F.broadcast(_maps(texts.sparkSession)[0])
-    simple = explode(t.where(hit & ~marks)).join(single, "piece", "left").select(*keys, "pos", F.coalesce("to_piece", "piece").alias("form"))
-    return plain.unionByName(rebuilt(simple, keys)).unionByName(canonical_pieces(explode(t.where(marks)), keys))
+    t = texts.select(*keys, F.col(text).alias("_t"))
+    hit = F.coalesce(F.col("_t").rlike(alone), F.lit(False))
+    marks = F.coalesce(F.col("_t").rlike(composing), F.lit(False))
+    plain = t.where(~hit & ~marks).select(*keys, squeezed(F.col("_t")).alias("canon"))
+    explode = lambda df, by, of: df.select(*keys, F.posexplode(F.regexp_extract_all(of, F.lit(by), 0)).alias("pos", "piece"))
+    # Texts in which nothing composes need no ordering of marks: one explode, one join, one rebuild.
+    simple = explode(t.where(hit & ~marks), simple_piece, F.col("_t")).join(single, "piece", "left").select(*keys, "pos", F.coalesce("to_piece", "piece").alias("form"))
+    # Unseen characters would part a base from its marks; a blank piece in front keeps texts of nothing else.
+    seen = F.concat(F.lit(" "), F.regexp_replace("_t", unseen(), ""))
+    return plain.unionByName(rebuilt(simple, keys)).unionByName(canonical_pieces(explode(t.where(marks), piece, seen), keys))
 
 
 def squeezed(c):
@@ -212,7 +301,8 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every segment's text in the consistent form."""
-    s = segments(spark, sf_dir).groupBy("segment_id").agg(F.min("normalized_text").alias("normalized_text"))
+    # A fixed number of partitions: exploding is heavy, and partitions that are merged by their bytes make stragglers.
+    s = segments(spark, sf_dir).repartition(parallelism(spark), "segment_id").groupBy("segment_id").agg(F.min("normalized_text").alias("normalized_text"))
     return canonicalise(s, ["segment_id"])
 
 

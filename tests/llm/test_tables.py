@@ -1,6 +1,7 @@
 """The text queries on small tables and, where a plain version exists, against it on the smallest test tables."""
 
 import os
+import random
 import re
 import unicodedata
 from collections import defaultdict
@@ -237,6 +238,20 @@ def test_p6_clusters_decide(spark, tmp_path, monkeypatch):
     assert {r.n_removed for r in p6_lines.p6_clean(spark, d).collect()} == {1, 2}
 
 
+def test_p4_form_over_all_scripts(spark):
+    r = random.Random(4)
+    blocks = [(0x20, 0x24F), (0x300, 0x36F), (0x370, 0x52F), (0x590, 0x6FF), (0x900, 0x9FF), (0xB00, 0xBFF), (0xD80, 0xDFF), (0xE00, 0xEFF), (0x1100, 0x11FF), (0x1E00, 0x1FFF), (0x2000, 0x214F), (0x3000, 0x318E), (0xAC00, 0xD7A3), (0xF900, 0xFAFF), (0xFB00, 0xFFEF), (0x1D400, 0x1D7FF)]
+    texts = []
+    for _ in range(3000):
+        some = [blocks[1], blocks[6], blocks[10], r.choice(blocks), r.choice(blocks)]
+        texts.append("".join(chr(r.randint(*r.choice(some))) for _ in range(r.randint(1, 12))))
+    texts += [unicodedata.normalize(f, t) for t in ("한글과 세종대왕", "각́ é ệ", "Ａ\u200b１\xa0ö") for f in ("NFC", "NFD")]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, normalized_text string")
+    got = {x.i: x.canon for x in p4_lookalike.canonicalise(df, ["i"]).collect()}
+    assert [t for i, t in enumerate(texts) if got[i] != p4_lookalike.canonical_reference(t)] == []
+    assert got[len(texts) - 6] == got[len(texts) - 5] == "한글과 세종대왕" and got[len(texts) - 4] == got[len(texts) - 3]
+
+
 def test_p7_site(spark, tmp_path):
     nodes, res = [], []
     for i in range(12):
