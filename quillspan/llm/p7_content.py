@@ -8,7 +8,8 @@ holds per page. The most important style of a page is its main branch; branches
 and texts of low importance are removed.
 
 One Arrow pass turns pages into text nodes with hashed style and content keys;
-all merging over hosts is aggregation in the JVM, salted by page for hot hosts.
+all merging over hosts is aggregation in the JVM, combined before any shuffle,
+so a hot host is never gathered.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, table
+from .common import cut_lineage, small, table
 from .p6_lines import site_of
 
 #: A text carried by this share of the pages of a host (and at least three) is not content; short texts need more.
@@ -61,11 +62,14 @@ def hash_text(t: str) -> int:
 
 
 def page_nodes(nos, parents, tags, classes, texts) -> list[tuple]:
-    """Text nodes of a page: ``(node_no, region, group, style, key, words, chars, path, heading, hidden)``.
-
-    ``region`` is the element that holds the text's block (or the block itself
-    when it mixes text with blocks); ``group`` is the style path of region and
-    block; ``path`` lists the node and its ancestors.
+    """Text nodes of a page: ``(node_no, region, region_end, place, group, style, key, words, chars, heading, blocked, is_block)``.
+
+    Elements are numbered in document order from the roots, however deep they
+    stand: ``place`` is the node's number, ``region`` and ``region_end`` are
+    the first number of the element that holds the text's block (or of the
+    block itself when it mixes text with blocks) and the first behind it.
+    ``group`` is the style path of region and block. Parents that are missing,
+    or that lead back to their own node, make a root.
     """
     at = {n: k for k, n in enumerate(nos)}
     kids: list[list[int]] = [[] for _ in nos]
@@ -75,6 +79,23 @@ def page_nodes(nos, parents, tags, classes, texts) -> list[tuple]:
         if j >= 0 and j != k:
             up[k] = j
             kids[j].append(k)
+    # Numbers in document order, from the roots down; what only a circle of parents holds begins at its first node.
+    place, leave, order = [-1] * len(nos), [0] * len(nos), []
+    for root in [*(k for k in range(len(nos)) if up[k] < 0), *range(len(nos))]:
+        if place[root] >= 0:
+            continue
+        up[root] = -1
+        todo = [root]
+        while todo:
+            k = todo.pop()
+            if k < 0:
+                leave[~k] = len(order)
+                continue
+            place[k] = len(order)
+            order.append(k)
+            todo.append(~k)
+            kids[k] = [c for c in kids[k] if place[c] < 0 and up[c] == k]
+            todo += reversed(kids[k])
     has_text = [t is not None and bool(t.strip()) for t in texts]
     title = ""
     for k, t in enumerate(tags):
@@ -92,33 +113,33 @@ def page_nodes(nos, parents, tags, classes, texts) -> list[tuple]:
         if t in ("p", "span", "li", "div") and made and all(m == "a+" for m in made):
             made = []  # a link within a paragraph is no style of its own
         sig.append(f"{t}.{classes[k] or ''}({','.join(made) if len(made) <= 6 else '*'})")
+    # What a node has from its ancestors: hidden, blocked, the block it belongs to and the style path above it.
+    hidden, blocked, block, above = [False] * len(nos), [False] * len(nos), list(range(len(nos))), [0] * len(nos)
+    for k in order:
+        j = up[k]
+        hidden[k] = tags[k] in _HIDDEN or j >= 0 and hidden[j]
+        blocked[k] = tags[k] in _NEVER or j >= 0 and blocked[j]
+        if j >= 0:
+            above[k] = _h([str(above[j]), f"{tags[j]}.{classes[j] or ''}"])
+            if inline(k):
+                block[k] = block[j]
     out = []
     for k in range(len(nos)):
-        if not has_text[k]:
-            continue
-        path, j, hidden = [], k, False
-        while j >= 0 and len(path) < 64:
-            path.append(j)
-            hidden |= tags[j] in _HIDDEN
-            j = up[j]
-        if hidden:
+        if not has_text[k] or hidden[k]:
             continue
-        block = k
-        while inline(block) and up[block] >= 0:
-            block = up[block]
-        mixed = any(tags[c] not in _FORMAT and tags[c] not in _EMPTY and not inline(c) for c in kids[block])
-        region = block if mixed or up[block] < 0 else up[block]
-        chain = [f"{tags[j]}.{classes[j] or ''}" for j in path[path.index(block) + 1 :] if j != region]
-        group = _h([sig[block], f"{tags[region]}.{classes[region] or ''}", *chain])
+        b = block[k]
+        mixed = any(tags[c] not in _FORMAT and tags[c] not in _EMPTY and not inline(c) for c in kids[b])
+        region = b if mixed or up[b] < 0 else up[b]
+        group = _h([sig[b], f"{tags[region]}.{classes[region] or ''}", str(above[region])])
         own = _SPACE.sub("", unicodedata.normalize("NFKC", texts[k]))
-        heading = tags[block] in ("h1", "h2") or (len(own) >= 2 and bool(title) and title.startswith(own) and tags[block] in ("div", "p", "h3", "h4", "header", "center", "td"))
-        blocked = any(tags[j] in _NEVER for j in path)
+        heading = tags[b] in ("h1", "h2") or (len(own) >= 2 and bool(title) and title.startswith(own) and tags[b] in ("div", "p", "h3", "h4", "header", "center", "td"))
         key, words = content_key(texts[k])
-        out.append((nos[k], nos[region], group, _h([sig[block] if k == block else sig[block] + "/" + tags[k], sig[region]]), key, words, len(own), [nos[j] for j in path], heading and not blocked, blocked, k == block))
+        style = _h([sig[b] if k == b else sig[b] + "/" + tags[k], sig[region]])
+        out.append((nos[k], place[region], leave[region], place[k], group, style, key, words, len(own), heading and not blocked[k], blocked[k], k == b))
     return out
 
 
-TEXTS = "host string, retrieval_id string, node_no int, region int, grp bigint, style bigint, key bigint, words int, chars int, path array<int>, heading boolean, blocked boolean, is_block boolean"
+TEXTS = "host string, retrieval_id string, node_no int, region int, region_end int, place int, grp bigint, style bigint, key bigint, words int, chars int, heading boolean, blocked boolean, is_block boolean"
 
 
 def _flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,26 +170,31 @@ def text_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text node with its importance and whether it is content."""
-    t = cut_lineage(text_nodes(spark, sf_dir))
-    pages = t.select("host", "retrieval_id").distinct().groupBy("host").agg(F.count("*").alias("n_pages"))
-    keys = t.select("host", "key", "retrieval_id").distinct().groupBy("host", "key").agg(F.count("*").alias("key_pages"))
-    t = t.join(keys, ["host", "key"]).join(pages, "host")
+    """Every text node with its importance and whether it is content.
+
+    Counts per host, style and text are far fewer than nodes; where they are
+    few enough they are broadcast, so that no host's nodes meet in one task.
+    """
+    t = cut_lineage(text_nodes(spark, sf_dir).drop("is_block"))
+    pages = cut_lineage(t.select("host", "retrieval_id").distinct().groupBy("host").agg(F.count("*").alias("n_pages")))
+    # A text on one page of its host needs no row: it is never noise.
+    keys = t.select("host", "key", "retrieval_id").distinct().groupBy("host", "key").agg(F.count("*").alias("key_pages")).where("key_pages > 1")
+    t = t.join(small(cut_lineage(keys)), ["host", "key"], "left").fillna(1, ["key_pages"]).join(small(pages), "host")
     share = F.col("key_pages") / F.col("n_pages")
     short = F.col("words") < 4
     noise = (F.col("key_pages") >= MIN_PAGES) & (share >= F.when(short, SHORT_SHARE).otherwise(NOISE_SHARE))
     # Entropy of a text that stands once in each of n of m pages, over the greatest possible: log n / log m.
     importance = F.when(F.col("n_pages") > 1, 1 - F.log("key_pages") / F.log("n_pages")).otherwise(1.0)
-    t = t.withColumn("noise", noise).withColumn("importance", importance)
+    t = cut_lineage(t.withColumn("noise", noise).withColumn("importance", importance))
     style = t.groupBy("host", "style").agg(F.avg(F.when(F.col("noise"), 0.0).otherwise(1.0)).alias("style_importance"))
-    t = t.join(style, ["host", "style"])
     weight = F.when(F.col("noise") | F.col("blocked"), 0.0).otherwise(F.col("importance") * F.col("chars"))
-    per = t.groupBy("host", "retrieval_id", "grp", "region").agg(F.sum(weight).alias("mass"))
+    per = cut_lineage(t.groupBy("host", "retrieval_id", "grp", "region", "region_end").agg(F.sum(weight).alias("mass")))
     # Presentation importance: important text per region of the style, over all pages of the host.
     group = per.groupBy("host", "grp").agg((F.sum("mass") / F.count("*")).alias("group_mass"))
-    best = per.join(group, ["host", "grp"]).groupBy("host", "retrieval_id").agg(F.max(F.struct((F.col("mass") > 0).alias("has"), F.sqrt(F.col("group_mass") * F.col("mass")).alias("m"), F.col("region").alias("main"), F.col("grp").alias("main_grp"))).alias("b"))
-    t = t.join(best.select("host", "retrieval_id", "b.main", "b.main_grp"), ["host", "retrieval_id"])
-    inside = F.array_contains("path", F.col("main")) & ~F.col("blocked")
+    rank = F.struct((F.col("mass") > 0).alias("has"), F.sqrt(F.col("group_mass") * F.col("mass")).alias("m"), F.col("region").alias("main"), F.col("grp").alias("main_grp"), F.col("region_end").alias("main_end"))
+    best = per.join(small(cut_lineage(group)), ["host", "grp"]).groupBy("retrieval_id").agg(F.max(rank).alias("b"))
+    t = t.join(small(cut_lineage(style)), ["host", "style"]).join(best.select("retrieval_id", "b.main", "b.main_end", "b.main_grp"), "retrieval_id")
+    inside = (F.col("place") >= F.col("main")) & (F.col("place") < F.col("main_end")) & ~F.col("blocked")
     clean = ~F.col("noise") & ((F.col("style_importance") >= STYLE_IMPORTANCE) | (F.col("grp") == F.col("main_grp")))
     return t.withColumn("is_content", (inside & clean) | (F.col("heading") & (~F.col("noise") | short | (F.col("key_pages") < F.col("n_pages") * 0.9))))
 

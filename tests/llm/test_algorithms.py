@@ -274,12 +274,21 @@ def test_page_nodes():
     tags, texts = ["html", "title", "body", "p", "b", "nav", "a"], [None, "T", None, "run\nning", "bold", None, "menu"]
     got = {r[0]: r for r in p7_content.page_nodes(nos, parents, tags, [""] * 7, texts)}
     assert set(got) == {3, 4, 6}
-    assert got[3][1] == got[4][1] == 2 and got[3][2] == got[4][2]  # inline text shares its paragraph's group
-    assert got[6][9] and not got[3][9]
+    assert got[3][1:3] == got[4][1:3] == (2, 7) and got[3][4] == got[4][4]  # inline text shares its paragraph's region and group
+    assert got[6][10] and not got[3][10]
     assert p7_content.page_nodes([], [], [], [], []) == []
     assert p7_content.page_nodes([5], [5], ["p"], [""], ["x"])[0][0] == 5  # a node that is its own parent
 
 
+def test_page_nodes_at_any_depth():
+    n = 5000
+    tags = ["body", "nav"] + ["div"] * n + ["p"] + ["b"] * n
+    nos = list(range(len(tags)))
+    got = p7_content.page_nodes(nos, [None, *nos[:-1]], tags, [""] * len(tags), [None] * (len(tags) - 1) + ["deep"])
+    assert [(r[0], r[10]) for r in got] == [(len(tags) - 1, True)]  # a text thousands of levels under a menu is still blocked
+    assert len(p7_content.page_nodes([1, 2, 3], [3, 1, 2], ["p"] * 3, [""] * 3, ["x"] * 3)) == 3  # parents in a circle
+
+
 # ------------------------------------------------------------------------ p8
 
 
