@@ -61,28 +61,30 @@ def overall(statuses: Column) -> Column:
     return F.when(F.array_contains(statuses, "FAIL"), "FAIL").when(F.forall(statuses, lambda s: s == "PASS"), "PASS").otherwise("UNRESOLVED")
 
 
-def retry_chains(attempts: DataFrame, ident: str, parent: str, max_depth: int = 32) -> DataFrame:
-    """Root and depth of every attempt along its chain of ``retry_of`` references.
+def retry_chains(attempts: DataFrame, ident: str, parent: str) -> DataFrame:
+    """Root and depth of every attempt along its chain of ``retry_of`` references, however long.
 
     Pointer doubling: each round a row looks up the root of its root, so
     chains of length n need log n joins. A reference to nothing is a root of
-    its own.
+    its own; rows whose chain ends in a circle have neither root nor depth.
     """
     from quillspan.plans.session import cut_lineage
 
-    a = attempts.select(F.col(ident).alias("id"), F.col(parent).alias("up")).distinct()
+    a = attempts.select(F.col(ident).alias("id"), F.col(parent).alias("up")).where("id is not null").groupBy("id").agg(F.min("up").alias("up"))
     known = a.select(F.col("id").alias("up"), F.lit(True).alias("_known"))
-    cur = a.join(known, "up", "left").select("id", F.when(F.col("_known"), F.col("up")).otherwise(F.col("id")).alias("root"), F.when(F.col("_known"), 1).otherwise(0).alias("depth"))
-    step = 1
-    while step < max_depth:
+    cur = cut_lineage(a.join(known, "up", "left").select("id", F.when(F.col("_known"), F.col("up")).otherwise(F.col("id")).alias("root"), F.when(F.col("_known"), 1).otherwise(0).alias("depth")))
+    rows, reach = cur.count(), 1
+    while reach < rows:
         look = cur.select(F.col("id").alias("root"), F.col("root").alias("_r"), F.col("depth").alias("_d"))
-        nxt = cut_lineage(cur.join(look, "root").select("id", F.col("_r").alias("root"), (F.col("depth") + F.col("_d")).alias("depth")))
-        done = nxt.join(cur.select("id", F.col("root").alias("_old")), "id").where("root <> _old").isEmpty()
-        cur = nxt
-        if done:
+        step = cut_lineage(cur.join(look, "root").select("id", F.col("_r").alias("root"), (F.col("depth") + F.col("_d")).alias("depth"), (F.col("_d") > 0).alias("_moved")))
+        cur = step.drop("_moved")
+        if step.where("_moved").isEmpty():
             break
-        step *= 2
-    return cur.withColumnsRenamed({"id": ident})
+        reach *= 2
+    # After as many steps as there are rows a chain stands at its root, unless it runs in a circle.
+    ends = cur.where("depth = 0").select(F.col("id").alias("root"), F.lit(True).alias("_end"))
+    out = cur.join(ends, "root", "left").select("id", F.when(F.col("_end"), F.col("root")).alias("root"), F.when(F.col("_end"), F.col("depth")).alias("depth"))
+    return out.withColumnsRenamed({"id": ident})
 
 
 def runs(events: DataFrame, group: list[str], order: list[str], flag: Column) -> DataFrame:

@@ -110,23 +110,48 @@ def page_links(pages: DataFrame, url: str, text: str) -> DataFrame:
     return pages.select(url, text).where(F.col(url).isNotNull()).mapInPandas(run, LINKS)
 
 
-def reachable(links: DataFrame, seeds: DataFrame, max_rounds: int = 100) -> DataFrame:
+def reachable(links: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``url, depth`` of every page reachable from the seeds over ``links(from_url, url)``, breadth first.
 
     Each round joins the frontier with the links and drops what was visited
     (anti join); rounds are written to the shared checkpoint folder so that
-    the lineage stays short and survives lost executors.
+    the lineage stays short and survives lost executors. It ends when nothing
+    new is found, or behind ``max_depth`` where one is asked for.
     """
     from quillspan.plans.session import cut_lineage
 
-    edges = links.select("from_url", "url").distinct()
-    seen = cut_lineage(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
-    front = seen
-    for depth in range(1, max_rounds + 1):
+    edges = cut_lineage(links.select("from_url", "url").distinct())
+    front = seen = cut_lineage(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         nxt = front.select(F.col("url").alias("from_url")).join(edges, "from_url").select("url").distinct().join(seen, "url", "left_anti").withColumn("depth", F.lit(depth))
-        nxt = cut_lineage(nxt)
-        if nxt.isEmpty():
+        front = cut_lineage(nxt)
+        if front.isEmpty():
             break
-        seen = cut_lineage(seen.unionByName(nxt))
-        front = nxt
+        seen = cut_lineage(seen.unionByName(front))
     return seen
+
+
+def crawl_plan(links: DataFrame, seeds: DataFrame, chapter_pattern: str, next_labels: tuple[str, ...] = ("next",), max_pages: int | None = None) -> DataFrame:
+    """Chapter links of a site in the order in which a crawl meets them: ``ordinal, url, label, page_url, position, depth``.
+
+    ``links`` has the columns of :func:`page_links`. Index pages are the seeds
+    and what they reach over links marked ``rel=next`` (or labelled so) on the
+    same origin; a chapter is a link in the scope of its page whose path
+    matches the pattern. A chapter counts where it is met first: by depth of
+    the page, then address of the page, then position. More than ``max_pages``
+    index pages are an error, as a site that never ends would be.
+    """
+    from .rank import numbered
+
+    same = links.where(origin(F.col("url")) == origin(F.col("page_url")))
+    label = F.lower(F.trim("label"))
+    onward = same.where(F.array_contains(F.split(F.lower("rel"), r"\s+"), "next") | label.isin(*next_labels))
+    index = reachable(onward.select(F.col("page_url").alias("from_url"), "url"), seeds)
+    if max_pages is not None and index.limit(max_pages + 1).count() > max_pages:
+        raise ValueError(f"more than {max_pages} index pages")
+    path = F.regexp_extract("url", r"^[^:]+://[^/?#]*([^?#]*)", 1)
+    met = same.join(index.withColumnRenamed("url", "page_url"), "page_url").where(path.rlike(chapter_pattern)).join(index.select("url"), "url", "left_anti")
+    first = met.groupBy("url").agg(F.min(F.struct("depth", "page_url", "position", "label")).alias("m")).select("url", "m.*")
+    return numbered(first, [F.col("depth"), F.col("page_url"), F.col("position"), F.col("url")], "ordinal").select("ordinal", "url", "label", "page_url", "position", "depth")

@@ -413,17 +413,15 @@ def flt11(spark, d):
 
 
 @query("flt12_ordered_partition", f"""
-with e as (select work_id, chapter_ordinal, segment_id, row_number() over (partition by work_id order by chapter_ordinal, document_id, ordinal, segment_id) as k from {SEG} where work_id is not null), c as (select work_id, chapter_ordinal, min(k) as a, max(k) as b, count(*) as n from e group by 1, 2)
-select work_id, chapter_ordinal, (b - a + 1 = n) as is_contiguous, n from c
+select work_id, chapter_ordinal, document_id, max(ordinal) - min(ordinal) + 1 = count(distinct ordinal) and count(distinct ordinal) = count(distinct segment_id) as is_contiguous, count(distinct segment_id) as n
+from {SEG} where work_id is not null group by work_id, chapter_ordinal, document_id
 """)
 def flt12(spark, d):
-    """Whether each chapter's segments are one contiguous stretch of the work's order."""
+    """Whether the stored ordinals of each document's segments are one gapless order of them."""
     s = once(spark, d, "segment", "work_id", "chapter_ordinal", "document_id", "ordinal", "segment_id").where("work_id is not null")
-    per = s.groupBy("work_id", "chapter_ordinal").agg(F.count("*").alias("n"))
-    # Chapters are ordered first, so their stretches follow each other whatever the size of the work.
-    w = W.partitionBy("work_id").orderBy("chapter_ordinal")
-    per = per.withColumn("a", F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + 1).withColumn("b", F.sum("n").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return per.select("work_id", "chapter_ordinal", (F.col("b") - F.col("a") + 1 == F.col("n")).alias("is_contiguous"), "n")
+    n = F.count_distinct("ordinal")
+    whole = (F.max("ordinal") - F.min("ordinal") + 1 == n) & (n == F.count_distinct("segment_id"))
+    return s.groupBy("work_id", "chapter_ordinal", "document_id").agg(whole.alias("is_contiguous"), F.count_distinct("segment_id").alias("n"))
 
 
 @query("set2_set_algebra", _two_sites_sql("select (select count(*) from (select h from x intersect select h from y)) as n_both, (select count(*) from (select h from x except select h from y)) as n_first_only, (select count(*) from (select h from x union select h from y)) as n_any"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillspan.streaming import journal
 
 from .registry import Registry
-from .session import table
+from .session import shared_folder, table
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -24,13 +24,12 @@ def agg10(spark, d):
     return out.select("user_id", "n_events", "n_kinds", F.round("total", 4).alias("total"), "last_kind")
 
 
-@query("stf3_illegal_steps", "with e as (select event_id, user_id, event_type, lag(event_type) over (partition by user_id order by ts, event_id) as p from events) select event_id, user_id, event_type, p as previous_kind from e where p = event_type")
+@query("stf3_illegal_steps", "with e as (select event_id, user_id, event_type, lag(event_type) over (partition by user_id order by ts, event_id) as p from events) select event_id, user_id, event_type, p as previous_kind from e where p = event_type or p is null and event_type not in ('signup', 'view')")
 def stf3(spark, d):
-    """Events that repeat the kind of the event before them (every other step is legal here)."""
-    from pyspark.sql import Window as W
-
-    e = _events(spark, d).withColumn("previous_kind", F.lag("event_type").over(W.partitionBy("user_id").orderBy("ts", "event_id")))
-    return e.where("previous_kind = event_type").select("event_id", "user_id", "event_type", "previous_kind")
+    """Events that may not follow the one before them: journals begin with a sign-up or a view, and no kind follows itself."""
+    kinds = ("signup", "view", "click", "purchase", "error")
+    legal = [(None, "signup"), (None, "view"), *((a, b) for a in kinds for b in kinds if a != b)]
+    return journal.illegal_steps(_events(spark, d), "user_id", "event_type", ["ts", "event_id"], legal).select("event_id", "user_id", "event_type", "previous_kind")
 
 
 @query("stm1_windowed_counts", "select time_bucket(interval '1 hour', ts) as window_start, event_type, count(*) as n from events group by 1, 2")
@@ -42,23 +41,22 @@ def stm1(spark, d):
 @query("stm2_stream_fold", "select user_id, count(*) as n_events, round(sum(coalesce(value, 0)), 4) as total from events group by user_id")
 def stm2(spark, d):
     """The journal fold run as a stream over the events to its end; the last state of each user."""
-    import tempfile
     import uuid
 
-    from pyspark.sql import Window as W
-
-    from .session import cut_lineage
-
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     from pathlib import Path
 
     path = Path(f"{d}/events.parquet")
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(str(path) if path.is_dir() else f"{d}/events.parquet*")
     source = source.withColumn("ts", F.col("ts").cast("timestamp")).select("user_id", "event_type", "ts", "value")
-    name = f"fold_{uuid.uuid4().hex}"
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    run = journal.fold_stream(source, "user_id", "event_type", "ts", "value", "36500 days").writeStream.outputMode("update").format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", f"{shared}/{name}").start()
+    place = f"{shared_folder(spark)}/fold_{uuid.uuid4().hex}"
+
+    def keep(batch, number):
+        batch.write.mode("overwrite").parquet(f"{place}/states/batch={number}")
+
+    stream = journal.fold_stream(source, "user_id", "event_type", "ts", "value", "36500 days")
+    run = stream.writeStream.outputMode("update").foreachBatch(keep).trigger(availableNow=True).option("checkpointLocation", f"{place}/log").start()
     run.awaitTermination()
-    newest = F.row_number().over(W.partitionBy("user_id").orderBy(F.col("n_events").desc()))
-    out = spark.table(name).withColumn("_r", newest).where("_r = 1").select("user_id", "n_events", F.round("total", 4).alias("total"))
-    return cut_lineage(out)
+    # Of each user the update of the latest batch holds.
+    states = spark.read.schema(stream.schema).parquet(f"{place}/states")
+    return states.groupBy("user_id").agg(F.max_by(F.struct("n_events", "total"), "n_events").alias("s")).select("user_id", "s.n_events", F.round("s.total", 4).alias("total"))

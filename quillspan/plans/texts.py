@@ -87,10 +87,10 @@ def txt7(spark, d):
 
 @query("html1_blocks")
 def html1(spark, d):
-    """Block texts of the pages whose bodies are UTF-8 HTML (roots first; tag soup needs a parser, so no SQL)."""
-    r = once(spark, d, "response", "retrieval_id", "body", "content_type").where("body is not null and lower(content_type) like 'text/html%'")
-    r = r.where(F.is_valid_utf8(F.col("body").cast("string"))).select("retrieval_id", F.col("body").cast("string").alias("page"))
-    return parse.html_blocks(r, "retrieval_id", "page")
+    """Block texts of all HTML pages, read by the charset that they declare or by detection (roots first; tag soup needs a parser, so no SQL)."""
+    r = table(spark, d, "response").where("retrieval_id is not null and body is not null and octet_length(body) > 0 and lower(content_type) like 'text/html%'")
+    r = r.groupBy("retrieval_id").agg(F.min("body").alias("body"))
+    return parse.html_blocks(parse.page_texts(r, "retrieval_id", "body"), "retrieval_id", "page")
 
 
 @query(

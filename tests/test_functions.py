@@ -135,3 +135,18 @@ def test_links_and_crawl(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "from_url string, url string")
     seen = urls.reachable(edges, spark.createDataFrame([("a",)], "url string"))
     assert {(r.url, r.depth) for r in seen.collect()} == {("a", 0), ("b", 1), ("c", 2)}
+    chain = spark.createDataFrame([(f"p{i}", f"p{i + 1}") for i in range(6)], "from_url string, url string")
+    assert urls.reachable(chain, spark.createDataFrame([("p0",)], "url string"), max_depth=3).count() == 4
+
+
+def test_crawl_plan(spark):
+    links = [
+        ("https://e.org/i", 0, "/c/2", "https://e.org/c/2", "二", ""), ("https://e.org/i", 1, "/c/1", "https://e.org/c/1", "一", ""), ("https://e.org/i", 2, "/i2", "https://e.org/i2", "more", "nofollow next"),
+        ("https://e.org/i", 3, "x", "https://x.org/c/9", "elsewhere", ""), ("https://e.org/i2", 0, "/c/1", "https://e.org/c/1", "again", ""), ("https://e.org/i2", 1, "/c/3", "https://e.org/c/3", "三", ""),
+        ("https://e.org/i2", 2, "/about", "https://e.org/about", "about", ""), ("https://e.org/other", 0, "/c/7", "https://e.org/c/7", "七", ""),
+    ]
+    df = spark.createDataFrame(links, urls.LINKS)
+    seeds = spark.createDataFrame([("https://e.org/i",)], "url string")
+    assert [(r.ordinal, r.url, r.label, r.depth) for r in urls.crawl_plan(df, seeds, r"^/c/\d+$").orderBy("ordinal").collect()] == [(1, "https://e.org/c/2", "二", 0), (2, "https://e.org/c/1", "一", 0), (3, "https://e.org/c/3", "三", 1)]
+    with pytest.raises(ValueError):
+        urls.crawl_plan(df, seeds, "c", max_pages=1)

@@ -52,6 +52,22 @@ def test_encodings():
     assert parse.detect(b"\xff\xff\xff")[2] == "UNDECODABLE"
 
 
+def test_pages_by_declared_charset(spark):
+    text = "他们在山里过了一年，这是我的国家。" * 4
+    assert parse.page_text(f'<meta charset="gbk"><p>{text}</p>'.encode("gb18030")).endswith(f"<p>{text}</p>")
+    assert parse.page_text(f"<p>{text}</p>".encode("gb18030")) == f"<p>{text}</p>"  # by detection
+    assert parse.page_text('<meta charset="nonsense"><p>é</p>'.encode()).endswith("é</p>")
+    assert parse.page_text(b"\xff\xff\xff") is None
+    df = spark.createDataFrame([("a", bytearray('<meta charset="latin-1"><p>\xe9</p>'.encode("latin-1"))), ("b", bytearray(b"\xff\xff\xff")), ("c", None)], "k string, b binary")
+    assert [(r.k, r.normalized_text) for r in parse.html_blocks(parse.page_texts(df, "k", "b"), "k", "page").collect()] == [("a", "é")]
+
+
+def test_hidden_elements():
+    page = "<p>a<br>b</p><aside>x<div>y</div></aside>c<header>h<img></header><svg/>d<div/>e<p>f<script>1<2</script>g"
+    assert parse.block_texts(page) == [("p:nth-of-type(1)", "ab"), ("text-node:nth-of-type(2)", "cd"), ("text-node:nth-of-type(3)", "e"), ("p:nth-of-type(1)".replace("1", "2"), "fg")]
+    assert parse.block_texts("a<nav>never closed<p>b") == [("text-node:nth-of-type(1)", "a")]
+
+
 def test_selector(spark):
     rows = [("a", 0, "div", {"class": "x body"}), ("a", 1, "p", {}), ("b", 0, "div", {"class": "body"}), ("b", 1, "p", {"class": "body"})]
     df = spark.createDataFrame(rows, "retrieval_id string, node_no int, tag string, attrs map<string,string>")
@@ -172,6 +188,12 @@ def test_retry_chains(spark):
     assert got == {("a", "a", 0), ("b", "a", 1), ("c", "a", 2), ("d", "a", 3), ("e", "e", 0)}
 
 
+def test_long_retry_chains_and_circles(spark):
+    rows = [(f"n{i:02d}", f"n{i - 1:02d}" if i else None) for i in range(41)] + [("x", "y"), ("y", "x"), ("z", "x")]
+    got = {r.id: (r.root, r.depth) for r in checks.retry_chains(spark.createDataFrame(rows, "id string, up string"), "id", "up").collect()}
+    assert got == {f"n{i:02d}": ("n00", i) for i in range(41)} | {k: (None, None) for k in "xyz"}
+
+
 def test_reduce(spark):
     rows = [("O1", '{"k":1}', "s", 0, 2), ("O2", '{"k":1}', "s", 0, 2), ("O3", '{"k":2}', "t", 1, 3)]
     df = spark.createDataFrame(rows, "id string, payload string, seg string, a int, b int")
