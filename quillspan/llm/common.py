@@ -24,11 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a default is set only where none is."""
+    """The shared folder named by the session; only local masters have a default."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         if not named:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             named = os.path.abspath("spark-warehouse/_checkpoints")
         sc.setCheckpointDir(named)
     return named or sc.getCheckpointDir()

@@ -90,7 +90,7 @@ def inputs_of(token: str) -> tuple[int, list[int]]:
     if token[-1] >= "⺀":
         chars = [_hash("c" + token[-1]) % GRAMS]
     else:
-        w = f"<{token[:24]}>"
+        w = f"<{token}>"
         chars = [_hash(w[i : i + 3]) % GRAMS for i in range(max(1, len(w) - 2))]
     return _hash("w" + token) % WORDS, chars
 

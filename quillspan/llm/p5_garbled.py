@@ -33,6 +33,9 @@ STEP_COST = 3
 #: A passage changes when the chain saves at least this share of its own description.
 MIN_SAVING = 0.08
 
+#: Characters of passages, with their bytes and results, that a worker remembers at once.
+MEMO_CHARS = 16_000_000
+
 #: Codecs that servers and editors confuse.
 CODECS = ("utf-8", "gb18030", "big5hkscs", "cp1252", "latin-1", "cp1251", "mac_roman")
 #: Codecs that text is written back with, and those it is then read as.
@@ -250,6 +253,7 @@ class Repairer:
     def __init__(self, dictionaries: dict[str, bytes]):
         self.describe = Describer(dictionaries)
         self.memo: dict = {}
+        self.held = 0
 
     def passage(self, text: str, data: bytes | None, declared: str) -> tuple[str, str, int, int]:
         """(chain, text, description as declared, description of the choice) of one passage."""
@@ -277,8 +281,10 @@ class Repairer:
                 break
             r = (",".join(filter(None, (r[0], best[0]))), best[1], own or now, best[2])
             raw = None
-        if len(self.memo) > 200_000:
+        self.held += 4 * len(text)
+        if self.held > MEMO_CHARS:
             self.memo.clear()
+            self.held = 0
         self.memo[key] = r
         return r
 

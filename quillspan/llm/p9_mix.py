@@ -35,8 +35,8 @@ CLASS_DOCS, FEATURES = 300, 1 << 14
 #: Most steps of the descent, and the share of all tokens within which every source must then lie.
 STEPS, CLOSE = 40, 1e-4
 ROUND_BUCKETS = 2048
-#: A posterior below this is taken as nought, so that a document has few domains.
-FLOOR = 0.02
+#: Posteriors are whole numbers of such parts, so that documents fall into few classes; classes that the driver fits by itself.
+PARTS, FEW_CLASSES = 20, 200_000
 OTHER = "(other)"
 
 _WORD = re.compile(r"[⺀-鿿]|[^\W\d_⺀-鿿]+|[^\w\s]")
@@ -72,6 +72,15 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def in_parts(p: np.ndarray, parts: int = PARTS) -> np.ndarray:
+    """Posteriors rounded to whole parts that still add up to one: the parts left over go to the largest remainders."""
+    base = np.floor(p * parts + 1e-9)
+    order = np.argsort(base - p * parts, axis=1, kind="stable")
+    extra = np.arange(p.shape[1])[None, :] < (parts - base.sum(1))[:, None]
+    np.put_along_axis(base, order, np.take_along_axis(base, order, 1) + extra, 1)
+    return base / parts
+
+
 def posteriors(w: np.ndarray, texts: list[str]) -> np.ndarray:
     out = np.zeros((len(texts), w.shape[1]))
     # Words are far from independent: the evidence counts with the root of their number.
@@ -135,9 +144,7 @@ def memberships(spark: SparkSession, sf_dir: str, mix: pd.DataFrame, tokenizer:
                 if s is not None and s == s:
                     q[i, at.get(s, len(classes) - 1)] = 1
             if open_rows:
-                p = posteriors(weights, [pdf.text.iloc[i] for i in open_rows])
-                p[p < FLOOR] = 0
-                q[open_rows] = p / p.sum(1, keepdims=True)
+                q[open_rows] = in_parts(posteriors(weights, [pdf.text.iloc[i] for i in open_rows]))
             yield pd.DataFrame({"doc_id": pdf.doc_id, "source": pdf.source, "n_tokens": [token_count(t, path) for t in pdf.text], "q": list(q)})
 
     return fan_out(docs).mapInPandas(run, "doc_id bigint, source string, n_tokens bigint, q array<double>")
@@ -152,31 +159,52 @@ def fit_rates(mem: DataFrame, mix: pd.DataFrame) -> tuple[np.ndarray, np.ndarray
     grouped once; every step is one aggregate over the groups.
     """
     k = len(mix)
-    total = lambda col, i: F.sum(col * F.element_at("q", i + 1)).alias(f"s{i}")
     groups = cut_lineage(mem.groupBy("q").agg(F.sum("n_tokens").alias("n")))
-    full = np.asarray([x or 0.0 for x in groups.agg(*[total(F.col("n"), i) for i in range(k + 1)]).first()], float)
     share, cap = mix.share.to_numpy(float), mix.cap.to_numpy(float)
+    rows = groups.limit(FEW_CLASSES + 1).count()
+    few = groups.toArrow() if rows <= FEW_CLASSES else None
+    if few is not None:
+        q, n = np.asarray(few["q"].to_pylist(), float).reshape(-1, k + 1), np.asarray(few["n"].to_pylist(), float)
+
+    def totals(push: np.ndarray | None) -> np.ndarray:
+        if few is not None:
+            return (n * (1.0 if push is None else rates(q, push, cap))) @ q
+        weight = F.col("n") if push is None else F.col("n") * rate_column(push, cap)
+        return np.asarray([x or 0.0 for x in groups.agg(*[F.sum(weight * F.element_at("q", i + 1)).alias(f"s{i}") for i in range(k + 1)]).first()], float)
+
+    full = totals(None)
     size = float(np.min(np.where(share > 0, full[:k] * cap / share, np.inf))) if k else 0.0
     want = np.r_[share * size, 0.0]
     scale = np.maximum(full, 1.0)
     push = np.r_[np.clip(want[:k] / scale[:k], 0, cap), 0.0]
     for _ in range(STEPS):
-        rate = rate_column(push, cap)
-        got = np.asarray([x or 0.0 for x in groups.agg(*[total(F.col("n") * rate, i) for i in range(k + 1)]).first()], float)
+        got = totals(push)
         gap = (want - got) / scale
         if np.abs(gap[:k] * scale[:k]).max(initial=0) <= CLOSE * max(size, 1.0):
             break
         push = push + gap
         push[:k] = np.clip(push[:k], -cap, 2 * cap)
+        push[k] = np.clip(push[k], -2 * cap.max(initial=1), 0.0)
     return push, want, size
 
 
+def rates(q: np.ndarray, push: np.ndarray, cap: np.ndarray) -> np.ndarray:
+    """Rates of classes of documents, as ``rate_column`` has them."""
+    most = np.where(q[:, :-1] > 0, cap, cap.max(initial=1)).min(1, initial=cap.max(initial=1)) if len(cap) else np.zeros(len(q))
+    alone = q[:, -1] >= q[:, :-1].max(1, initial=0)
+    return np.where(alone, 0.0, np.clip(q @ push, 0.0, most))
+
+
 def rate_column(push: np.ndarray, cap: np.ndarray):
-    """Rate of a document: its posterior's mix of the domains' pushes, projected between nought and the repeats its domains allow."""
+    """Rate of a document: its posterior's mix of the domains' pushes, projected between nought and the repeats its domains allow.
+
+    A document is taken for its likeliest domain; one whose likeliest domain is
+    outside of the mix is not taken.
+    """
     r = sum((F.element_at("q", i + 1) * float(v) for i, v in enumerate(push)), F.lit(0.0))
     # The least cap of the domains that the document belongs to holds; other sources have none.
     most = F.least(*[F.when(F.element_at("q", i + 1) > 0, F.lit(float(c))).otherwise(F.lit(float(cap.max(initial=1)))) for i, c in enumerate(cap)], F.lit(float(cap.max(initial=1)))) if len(cap) else F.lit(0.0)
-    alone = F.element_at("q", len(cap) + 1) >= 0.5
+    alone = F.element_at("q", len(cap) + 1) >= (F.array_max(F.slice("q", 1, len(cap))) if len(cap) else F.lit(0.0))
     return F.when(alone, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(r, most)))
 
 
@@ -213,14 +241,22 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target and actual share of each source of the mix."""
+    """Target and actual share of each source of the mix, and the share that the posteriors of the chosen documents let expect.
+
+    ``actual_share`` books a document wholly to its likeliest domain,
+    ``expected_share`` in the parts of its posterior.
+    """
     out, mix = mixed(spark, sf_dir)
-    got = out.groupBy("domain").agg(F.sum(F.col("repeats") * F.col("n_tokens")).alias("tokens"), F.count_if(F.col("repeats") > 0).alias("n_docs"), F.max("repeats").alias("most_repeats"))
-    goal = spark.createDataFrame([(r.source, float(r.share), int(r.cap)) for r in mix.itertuples()], T.StructType([T.StructField("domain", T.StringType()), T.StructField("target_share", T.DoubleType()), T.StructField("max_repeats", T.IntegerType())]))
-    j = F.broadcast(goal).join(got, "domain", "left").fillna(0, ["tokens", "n_docs", "most_repeats"])
-    whole = j.agg(F.sum("tokens").alias("all_tokens"))
+    out = cut_lineage(out.where("repeats > 0").select("domain", "q", "repeats", "n_tokens"))
+    used = F.col("repeats") * F.col("n_tokens")
+    got = out.groupBy("domain").agg(F.sum(used).alias("tokens"), F.count("*").alias("n_docs"), F.max("repeats").alias("most_repeats"))
+    hoped = out.groupBy("q").agg(F.sum(used).alias("n")).select(F.posexplode("q").alias("at", "part"), "n").groupBy("at").agg(F.sum(F.col("part") * F.col("n")).alias("hoped"))
+    goal = spark.createDataFrame([(i, r.source, float(r.share), int(r.cap)) for i, r in enumerate(mix.itertuples())], T.StructType([T.StructField("at", T.IntegerType()), T.StructField("domain", T.StringType()), T.StructField("target_share", T.DoubleType()), T.StructField("max_repeats", T.IntegerType())]))
+    j = F.broadcast(goal).join(got, "domain", "left").join(hoped, "at", "left").fillna(0, ["tokens", "n_docs", "most_repeats", "hoped"])
+    whole = j.agg(F.sum("tokens").alias("all_tokens"), F.sum("hoped").alias("all_hoped"))
+    share = lambda x, of: F.round(F.expr(f"{x} / nullif({of}, 0)"), 6)
     return j.crossJoin(F.broadcast(whole)).select(
-        F.col("domain").alias("source"), "target_share", F.round(F.expr("tokens / nullif(all_tokens, 0)"), 6).alias("actual_share"), "tokens", "n_docs", "most_repeats", "max_repeats"
+        F.col("domain").alias("source"), "target_share", share("tokens", "all_tokens").alias("actual_share"), share("hoped", "all_hoped").alias("expected_share"), "tokens", "n_docs", "most_repeats", "max_repeats"
     )
 
 

@@ -416,3 +416,16 @@ def test_disguises():
     assert p10_abuse.joined(["s", "h", "i", "t", "a", "b"]) == ["shitab"] and p10_abuse.joined(["a", "b"]) == ["a", "b"]
     v = p10_abuse.Vocabulary()
     assert v.ids("白.痴").tolist() == v.ids("白​痴").tolist() == v.ids("白痴").tolist()
+
+
+def test_whole_words_are_read():
+    assert p10_abuse.inputs_of("x" * 24 + "abc") != p10_abuse.inputs_of("x" * 24 + "def")
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 13), st.integers(0, 999))
+def test_posteriors_in_parts(k, seed):
+    p = np.random.default_rng(seed).dirichlet(np.full(k, 0.3), 7)
+    got = p9_mix.in_parts(p)
+    assert np.allclose(got.sum(1), 1) and (np.abs(got - p) <= 1 / p9_mix.PARTS + 1e-9).all()
+    assert np.allclose(got * p9_mix.PARTS, np.round(got * p9_mix.PARTS))
