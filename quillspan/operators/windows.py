@@ -7,9 +7,13 @@ max(0, (a - W) div step + 1) to min(n - 1, (b - 1) div step).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 
 def offsets(texts: DataFrame, work: str, chapter: str, order: list[str], length: Column, separator: int = 0) -> DataFrame:
@@ -87,17 +91,43 @@ def overlapping_pairs(left: DataFrame, right: DataFrame, keys: list[str], bin_wi
     return j.where(F.greatest("l_start", "r_start") < F.least("l_end", "r_end")).where(F.floor(F.greatest("l_start", "r_start") / bin_width) == F.col("_bin")).drop("_bin")
 
 
+#: Phrases that one scan of the texts looks for.
+PHRASES = 20_000
+
+
 def locate(texts: DataFrame, phrases: DataFrame, text: str, phrase: str) -> DataFrame:
     """All occurrences, overlapping ones included, of each phrase: adds ``start_char`` (from 0) and ``end_char``.
 
-    ``phrases`` is a query set against all texts. Empty phrases are refused by
-    leaving them out. Only texts that contain a phrase are expanded.
+    ``phrases`` is a query set against all texts: it is taken in blocks of
+    about ``PHRASES``, each of which is one scan of the texts with an automaton
+    over the block, linear in the length of a text. Null and empty phrases and
+    null texts match nothing.
     """
+    import ahocorasick
+
     p = phrases.where(F.length(phrase) > 0)
-    j = texts.join(p, F.contains(F.col(text), F.col(phrase)))
-    n = F.length(phrase)
-    at = F.filter(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, n) == F.col(phrase))
-    return j.withColumn("_i", F.explode(at)).withColumn("start_char", F.col("_i") - 1).withColumn("end_char", F.col("start_char") + n).drop("_i")
+    words = p.select(F.col(phrase).alias("q")).distinct()
+    blocks = max(1, -(-words.count() // PHRASES))
+    found = StructType([*texts.schema.fields, StructField("_q", StringType()), StructField("start_char", IntegerType())])
+    spark, out = texts.sparkSession, None
+    for k in range(blocks):
+        block = [r.q for r in words.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == k).collect()]
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            finder = ahocorasick.Automaton()
+            for q in shared.value:
+                finder.add_word(q, q)
+            finder.make_automaton()
+            for pdf in batches:
+                hits = [(i, q, end + 1 - len(q)) for i, t in enumerate(pdf[text]) if t and shared.value for end, q in finder.iter(t)]
+                at = pdf.iloc[[h[0] for h in hits]].reset_index(drop=True)
+                yield at.assign(_q=[h[1] for h in hits], start_char=pd.Series([h[2] for h in hits], dtype="int32"))
+
+        part = texts.where(F.length(text) > 0).mapInPandas(run, found)
+        out = part if out is None else out.unionByName(part)
+    j = out.join(p.withColumn("_q", F.col(phrase)), "_q")
+    return j.withColumn("end_char", F.col("start_char") + F.length(phrase)).drop("_q")
 
 
 def position_in_unit(spans: DataFrame, length: Column, offset: Column) -> DataFrame:
