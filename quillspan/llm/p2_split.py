@@ -157,7 +157,9 @@ def oversized_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     lim = F.broadcast(limits(spark, sf_dir).where("item_kind = 'scene_window'"))
     size = F.aggregate("source_spans", F.lit(0), lambda acc, s: acc + F.greatest(F.coalesce(s["end_char"] - s["start_char"], F.lit(0)), F.lit(0)))
     win = table(spark, sf_dir, "scene_window").where("window_id is not null").select("window_id", "source_spans")
-    big = win.withColumn("size", size).join(lim, F.col("size") > F.col("max_chars")).dropDuplicates(["window_id"])
+    big = win.withColumn("size", size).join(lim, F.col("size") > F.col("max_chars"))
+    # Of repeated rows that differ, the one with the smallest spans holds.
+    big = big.groupBy("window_id", "item_kind", "max_chars", "overlap_chars").agg(F.min("source_spans").alias("source_spans"))
     spans = big.select("window_id", "item_kind", "max_chars", "overlap_chars", F.posexplode("source_spans").alias("pos", "s")).select(
         "window_id", "item_kind", "max_chars", "overlap_chars", "pos", "s.segment_id", "s.start_char", F.greatest(F.coalesce(F.expr("s.end_char - s.start_char"), F.lit(0)), F.lit(0)).alias("n")
     )
