@@ -93,6 +93,20 @@ def test_early_end_stops_inside_a_sentence():
     assert not p1_cut.ends_early(words + " felt cold.", words + " felt very cold.")  # a word more inside the last sentence
 
 
+@pytest.mark.parametrize("spread", [0, 4_000_000])
+@settings(max_examples=30, deadline=None)
+@given(seed=st.integers(0, 10**6))
+def test_early_end_of_blocks_is_that_of_all_pairs(spread, seed):
+    r = random.Random(seed)
+    base = [" ".join(r.choice(["w%d" % r.randint(0, 40), "他", "说。", "go!”", "12", "he\n"]) for _ in range(r.randint(9, 60))) for _ in range(3)]
+    make = lambda: (t := r.choice(base))[: r.randint(0, len(t))] + r.choice(["", "", ".", "…", " zz", t[-40:]])
+    left, right = [make() for _ in range(r.randint(0, 12))], [make() for _ in range(r.randint(0, 12))]
+    want = [max((p1_cut.ends_early(a, b) for b in right), default=0) for a in left]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(p1_cut, "SPREAD", spread)
+        assert p1_cut.ends_early_any(left, right).tolist() == want
+
+
 def test_endings():
     whole = "<html><body><p>一。</p></body></html>"
     assert p1_cut.ending(whole, False)[2] is False

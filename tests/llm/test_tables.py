@@ -221,6 +221,21 @@ def test_p1_hot_band(spark, tmp_path, monkeypatch):
     assert {r.record_id for r in p1_cut.scored(spark, d).where("by_copy").collect()} == {"k0", "k1"}
 
 
+def test_p1_hot_class_of_different_texts(spark, tmp_path, monkeypatch):
+    """Texts of one beginning and one closing run of words: each cut one has one copy, which is not the longest of them."""
+    head, tail = " ".join(f"head{i}" for i in range(30)), "tail0 tail1 tail2 tail3"
+    own = [" ".join(f"own{i}x{j}" for j in range(5)) for i in range(30)]
+    data = [(f"w{i}", "d", "w", 1, i, "p", f"{head} {t} {tail} tail4 of it.", "h") for i, t in enumerate(own)] + [(f"c{i}", "e", "w", 2, i, "p", f"{head} {t} {tail} ta", "h") for i, t in enumerate(own)]
+    data += [("long", "e", "w", 3, 1, "p", f"{head} " + " ".join(f"long{j}" for j in range(40)) + f" {tail} tail4 of it.", "h")]
+    data += [(f"alone{i}", "e", "w", 4, i, "p", f"{head} " + " ".join(f"alone{i}x{j}" for j in range(5)) + f" {tail} ta", "h") for i in range(5)]
+    d = write(spark, tmp_path, segment=(SEGMENT, data))
+    want = {f"c{i}" for i in range(30)}
+    for limit, block in ((1 << 20, 2048), (20, 2048), (20, 7)):
+        monkeypatch.setattr(p1_cut, "HOT_PAIRS", limit)
+        monkeypatch.setattr(p1_cut, "BLOCK_TEXTS", block, raising=False)
+        assert {r.record_id for r in p1_cut.scored(spark, d).where("by_copy").collect()} == want
+
+
 def test_p6_clusters_decide(spark, tmp_path, monkeypatch):
     """Near-duplicates of a repeated line go with it; sentences of one pattern without such a line stay."""
     notice = "Please support the author by reading this chapter only on our own site"
